@@ -72,7 +72,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 SALTS = 64
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``groups`` (one row a key, already durable); null keys match.
 
     Counted first: up to BROADCAST_ROWS and BROADCAST_BYTES the groups are broadcast. Beyond that
@@ -82,9 +82,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
     other = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
     if seen["n"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(other), same)
+        joined = rows.join(F.broadcast(other), same, how)
     else:
         salted = other.withColumn("_g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, [*same, F.col("_salt") == F.col("_g_salt")]).drop("_salt", "_g_salt")
+        joined = joined.join(salted, [*same, F.col("_salt") == F.col("_g_salt")], how).drop("_salt", "_g_salt")
     return joined.drop(*(f"_g_{k}" for k in keys))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, rules
 
 QUERIES = {
     "op6_chat": chat.op6_chat,
+    "op7_rules": rules.op7_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
