@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mesograph.plans.durable import durable  # noqa: F401
+
 #: White space between words: space and \t \n \v \f \r. A fixed value of the contracts.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -18,18 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder that all executors share.
-
-    The folder is spark.checkpoint.dir; only where no folder is set (tests on one machine) is a
-    temporary one chosen."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, rules
+from . import chat, lines, mixing, rules
 
 QUERIES = {
     "op6_chat": chat.op6_chat,
     "op7_rules": rules.op7_rules,
+    "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
     "op6_chat": chat.OP6_SQL,
+    "op9_lines": lines.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
