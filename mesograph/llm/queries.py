@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, rules
+from . import chat, lines, mixing, rules, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op6_chat": chat.op6_chat,
     "op7_rules": rules.op7_rules,
     "op9_lines": lines.op9_lines,
