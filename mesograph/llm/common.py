@@ -77,3 +77,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
         joined = joined.join(salted, [*same, F.col("_salt") == F.col("_g_salt")], how).drop("_salt", "_g_salt")
     return joined.drop(*(f"_g_{k}" for k in keys))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text as bytes, y) of at most ``per_class`` labelled documents of each class outside the held-out
+    fold, chosen by a hash of their ids, and how many labels of each class there are.
+
+    Both classes' id lists are bounded by ``per_class``, which bounds what is broadcast."""
+    y = F.col(label)
+    known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
+    known = durable(known.groupBy("doc_id").agg(F.max(y).alias("y")))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    ids = durable(chosen[0].unionByName(chosen[1])).withColumnRenamed("doc_id", "_id")
+    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.select("text", "y"), counts

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, rules, simhash, tokens
+from . import chat, lines, mixing, quality, rules, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_tokens": tokens.op2_tokens,
     "op6_chat": chat.op6_chat,
     "op7_rules": rules.op7_rules,
+    "op8_quality": quality.op8_quality,
     "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
 }
