@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import durable, pieces, sha256, table, utf8
@@ -36,7 +37,9 @@ from .common import durable, pieces, sha256, table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a text that is cut into chunks, and of a chunk; solved spans that a worker remembers.
-GIANT, CHUNK, REMEMBERED = 1 << 16, 1 << 14, 300_000
+GIANT, CHUNK, REMEMBERED = 1 << 16, 1 << 14, 200_000
+#: Longer spans are solved place by place and not remembered.
+LONG = 64
 NONE = -np.inf
 
 
@@ -55,17 +58,7 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         self.inside = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.spans = self._spans()
-        #: Each beginning of a piece with the longest piece that begins it; each piece with the next shorter one.
-        self.begins: dict[str, str] = {}
-        for p in sorted(self.pieces, key=len):
-            for i in range(1, len(p) + 1):
-                self.begins.setdefault(p[:i], p[0] if i == 1 else self.begins[p[: i - 1]])
-            self.begins[p] = p
-        # a longer beginning never has a shorter piece than a beginning of its own
-        for p in sorted(self.begins, key=len):
-            if p not in self.pieces and len(p) > 1:
-                self.begins[p] = self.begins[p[:-1]]
-        self.shorter = {p: self.begins[p[:-1]] if len(p) > 1 else "" for p in self.pieces}
+        self.ends = {p[i:] for p in self.pieces for i in range(len(p))}
         #: For each piece, whether it may follow another.
         self.follows: dict[str, dict[str, bool]] = {}
         self.pairs = 0
@@ -137,46 +130,6 @@ class Vocabulary:
                     break
         return last
 
-    def path(self, span: str) -> list[str]:
-        """The best path over a short span, depth first: longest pieces first, and as every path that is
-        there at all weighs 0, the first to reach the end is the best. Dead ends are remembered."""
-        begins, shorter, follows, pair, n = self.begins, self.shorter, self.follows, self.pair, len(span)
-        out: list[str] = []
-        dead: set[tuple[int, str, str]] = set()
-        at, before, piece = 0, "", ""
-        while at < n:
-            if not piece:
-                end = at + 1
-                while end <= n and (got := begins.get(span[at:end])):
-                    piece = got
-                    end += 1
-                piece = piece or span[at]
-            while piece:
-                known = follows.get(piece)
-                ok = known.get(before) if known else None
-                if ok is None:
-                    ok = pair(before, piece)
-                if ok and not (dead and (at, piece, before) in dead):
-                    break
-                piece = shorter.get(piece, "")
-            if piece:
-                out.append(piece)
-                at += len(piece)
-                before, piece = piece, ""
-                continue
-            gone = out.pop()  # no way on from here: a shorter piece instead of the last
-            at -= len(gone)
-            before = out[-1] if out else ""
-            dead.add((at, gone, before))
-            piece = shorter.get(gone, "")
-            while not piece:
-                gone = out.pop()
-                at -= len(gone)
-                before = out[-1] if out else ""
-                dead.add((at, gone, before))
-                piece = shorter.get(gone, "")
-        return out
-
     def back(self, last: list[str | None], end: int, start: int) -> list[str]:
         out = []
         while end > start:
@@ -204,22 +157,52 @@ class Vocabulary:
 
 
 class _Solved(dict):
-    """Span to ids; forgets all when full, so memory is bounded."""
+    """Short span to the ids of its best path; forgets all when full, so memory is bounded.
+
+    The best path to a place depends on what stands before it alone, so a span's path is its last
+    piece after the best path of the rest, and spans that begin alike share that."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.last: dict[str, str] = {}
+        self.coded: dict[str, bytes] = {}
 
     def __missing__(self, span: str) -> bytes:
-        v = self.vocabulary
-        short = len(span) <= 64
-        parts = v.path(span) if short else v.back(v.paths(span, 0, "", len(span)), len(span), 0)
-        made = array("i", v.ids(parts)).tobytes()
-        if short:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[span] = made
-        return made
+        if len(span) > LONG:
+            v = self.vocabulary
+            return array("i", v.ids(v.back(v.paths(span, 0, "", len(span)), len(span), 0))).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.last.clear()
+        self.grow(span)
+        return self[span]
+
+    def grow(self, span: str) -> str:
+        """Solves a span; its last piece."""
+        v, n, some = self.vocabulary, len(span), []
+        ends, known, follows = v.ends, v.pieces, v.follows
+        for begin in range(n - 1, -1, -1):
+            piece = span[begin:]
+            if piece not in ends:
+                break
+            if piece in known:
+                some.append(piece)
+        if not some or len(some[0]) > 1:
+            some.insert(0, span[-1])
+        for piece in reversed(some):
+            rest = span[: n - len(piece)]
+            before = (self.last.get(rest) or self.grow(rest)) if rest else ""
+            ok = follows[piece].get(before) if piece in follows else None
+            if ok or ok is None and v.pair(before, piece):
+                break
+        if (code := self.coded.get(piece)) is None:
+            code = array("i", v.ids([piece])).tobytes()
+            if len(self.coded) < REMEMBERED:
+                self.coded[piece] = code
+        self[span] = self.get(rest, b"") + code
+        self.last[span] = piece
+        return piece
 
 
 _vocabularies: dict[int, Vocabulary] = {}
@@ -364,44 +347,71 @@ def _giants(giants: DataFrame, shared: Shared) -> DataFrame:
     return parts.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT) -> DataFrame:
-    """The documents with ``ids``, the model's encoding of each whole text."""
+def _with_ids(batch: pa.RecordBatch, made: list[bytes]) -> pa.RecordBatch:
+    values = pa.Array.from_buffers(pa.int32(), sum(map(len, made)) // 4, [None, pa.py_buffer(b"".join(made))])
+    offsets = np.zeros(len(made) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in made], out=offsets[1:])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, "ids"])
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, then=None, schema: str = "") -> DataFrame:
+    """The documents with ``ids``, the model's encoding of each whole text.
+
+    ``then`` may be a further step over the record batches in the same Python worker (a function of
+    the batches and the vocabulary, which returns ``schema``)."""
     shared = Shared(docs.sparkSession, model)
+    rows = docs.drop("ids")
 
-    @pandas_udf("array<int>")
-    def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def after(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(batches, vocabulary(shared)) if then else iter(batches)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
-        for batch in texts:
-            yield pd.Series([np.frombuffer(v.encode(t or ""), dtype="<i4") for t in batch], dtype=object)
+        made = (_with_ids(b, [v.encode(t or "") for t in b.column(text).to_pylist()]) for b in pieces(batches, text))
+        return after(made)
 
-    rows = docs.drop("ids")
+    kept = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = schema if then else kept
     long = F.coalesce(F.length(text), F.lit(0)) > giant
-    short = rows.where(~long).withColumn("ids", whole(F.coalesce(F.col(text), F.lit(""))))
     giants = durable(rows.where(long).withColumn("_row", F.monotonically_increasing_id()))
     made = _giants(giants.select("_row", utf8(text).alias("_text")), shared)
-    return short.unionByName(giants.join(made.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r")).select(*rows.columns, "ids"))
+    solved = giants.join(made.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r")).select(*rows.columns, "ids")
+    return rows.where(~long).mapInArrow(whole, out).unionByName(solved.mapInArrow(after, out) if then else solved)
+
 
+def decoded(batch: pa.RecordBatch, v: Vocabulary) -> list[str]:
+    """The texts that a batch's ids stand for."""
+    ids = batch.column("ids")
+    values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    return [v.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])]
 
-def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", model: str = MODEL) -> DataFrame:
-    """The rows with the text that the ids stand for."""
+
+def decode(encoded: DataFrame, into: str = "decoded", model: str = MODEL) -> DataFrame:
+    """The rows with the text that their ``ids`` stand for; null ids: the empty text."""
     shared = Shared(encoded.sparkSession, model)
+    rows = encoded.drop(into)
 
-    @pandas_udf("string")
-    def back(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
-        for batch in rows:
-            yield pd.Series([v.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in batch], dtype=object)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded(some, v), pa.string())], names=[*some.schema.names, into])
 
-    return encoded.withColumn(into, back(F.col(ids)))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def op2_tokens(spark, sf_dir: str) -> DataFrame:
-    """Per document its number of ids, their digest, and what they decode to."""
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_chars long, decoded_sha256 string, same_text boolean"
+
+
+def _digests(batches: Iterable[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, back = batch.column("text").to_pylist(), decoded(batch, v)
+        ids = [np.asarray(x, dtype="<i4").tobytes() for x in (batch.column("ids")[i].values.to_numpy(zero_copy_only=False) for i in range(batch.num_rows))]
+        columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha256, ids)), pa.array(map(len, back), pa.int64()), pa.array([sha256(t.encode()) for t in back]), pa.array([a == (b or "") for a, b in zip(back, texts, strict=True)])]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _DIGESTS.split(", ")])
 
-    @pandas_udf("string")
-    def digest(rows: pd.Series) -> pd.Series:
-        return pd.Series([sha256(np.asarray(x, dtype="<i4").tobytes()) for x in rows], dtype=object)
 
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("same_text"))
+def op2_tokens(spark, sf_dir: str) -> DataFrame:
+    """Per document its number of ids, their digest, and what they decode to."""
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), then=_digests, schema=_DIGESTS)
