@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, quality, rules, simhash, tokens, toxicity
+from . import chat, languages, lines, mixing, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_tokens": tokens.op2_tokens,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_languages": languages.op5_languages,
     "op6_chat": chat.op6_chat,
     "op7_rules": rules.op7_rules,
     "op8_quality": quality.op8_quality,

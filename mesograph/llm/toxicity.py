@@ -30,7 +30,7 @@ from .common import fold, labelled_sample, pieces, table, utf8
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS, BINS, LEAST, CHI = 4000, 1 << 20, 5, 10.0
-FACTORS, EPOCHS, BATCH, RATE, PENALTY = 8, 25, 64, 0.1, 2e-5
+FACTORS, EPOCHS, BATCH, RATE, PENALTY = 8, 12, 64, 0.05, 2e-5
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
