@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, languages, lines, mixing, quality, rules, simhash, tokens, toxicity
+from . import audio, chat, languages, lines, mixing, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_tokens": tokens.op2_tokens,
+    "op3_audio": audio.op3_audio,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_languages": languages.op5_languages,
     "op6_chat": chat.op6_chat,
