@@ -21,3 +21,12 @@ ORACLE_SQL = {
     "op9_lines": lines.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
