@@ -1,0 +1 @@
+"""Scalar functions and the parsing of names."""

@@ -43,3 +43,9 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", most:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         before = mark
     raise RuntimeError(f"no fixed point after {most} rounds")
+
+
+def weak_components(graph) -> DataFrame:
+    """(id, component) of every vertex of a graph, edges taken both ways; component: its least vertex."""
+    linked = star_components(graph.edges).withColumnRenamed("id", "_id")
+    return graph.vertices.join(linked, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("component", "id").alias("component"))

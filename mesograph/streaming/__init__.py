@@ -1,0 +1 @@
+"""Edge lists that grow while they are read."""
