@@ -17,7 +17,8 @@ def active_by_level(levels: DataFrame, n: int) -> DataFrame:
 
 def active_always(vertices: DataFrame, rounds: int) -> DataFrame:
     """(iter, id) where every vertex is active in every round."""
-    return vertices.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).cast("long").alias("iter"), "id") if rounds else vertices.select(F.lit(1).cast("long").alias("iter"), "id").where(F.lit(False))
+    every = F.sequence(F.lit(1).cast("long"), F.lit(max(1, rounds)).cast("long"))
+    return vertices.select(F.explode(every).alias("iter"), "id").where(F.col("iter") <= rounds)
 
 
 def _planned(active: DataFrame, plan: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ class CsrReader(DataSourceReader):
         with _open(self.path) as file:
             _, e = self._header(file)
         cuts = [e * k // self.parts for k in range(self.parts + 1)]
-        return [_Range(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        return [_Range(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         with _open(self.path) as file:
