@@ -164,12 +164,12 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that score at least ``least``, with their columns."""
 
-    @pandas_udf("double")
-    def scored(texts):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        return texts.map(lambda t: float(score(t)))
+        for batch in pieces(batches, text):
+            yield batch.filter(pa.array([bool(score(t or "") >= least) for t in batch.column(text).to_pylist()]))
 
-    return docs.withColumn("_score", scored(F.coalesce(F.col(text), F.lit("")))).where(F.col("_score") >= least).drop("_score")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
