@@ -7,7 +7,7 @@ out-edges send nothing. Rounds go on while some rank moved by more than the tole
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mesograph.graph import Graph
@@ -35,8 +35,9 @@ def pagerank(graph: Graph, tolerance: float = 0.01, most: int = 1000, trace: boo
     sent = shares(graph).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks, moves = graph.vertices.select("id", F.lit(BASE).alias("rank")), []
     while graph.n and (not moves or moves[-1] > tolerance) and len(moves) < most:
-        new = durable(step(graph, sent, ranks))
-        moves.append(new.agg(F.max("diff")).first()[0])
+        seen = Observation()  # a maximum: a task that runs twice doesn't change it
+        new = durable(step(graph, sent, ranks).observe(seen, F.max("diff").alias("most")))
+        moves.append(seen.get["most"])
         ranks = new.select("id", "rank")
     sent.unpersist()
     return (ranks, moves) if trace else ranks
