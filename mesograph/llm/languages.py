@@ -275,12 +275,14 @@ def predict(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text:
                 idx, lengths, rows = [], [], []
                 for r, raw in enumerate(batch.column("text").to_pylist()):
                     t = raw.decode("utf-8", "replace").lower()
+                    if not any(map(str.isalpha, t)):
+                        continue
                     if len(t) > 8 * CHUNK:
                         some = np.fromiter((index[m[0]] for m in _WORD.finditer(t)), dtype=np.int32)
-                        if len(some):
-                            share = shares(field, index.settle(), some)
-                            best[r], score[r] = field.languages[int(share.argmax())], share.max()
-                    elif some := _WORD.findall(t):
+                        share = shares(field, index.settle(), some)
+                        best[r], score[r] = field.languages[int(share.argmax())], share.max()
+                    else:
+                        some = _WORD.findall(t)
                         idx += map(index.__getitem__, some)
                         lengths.append(len(some))
                         rows.append(r)

@@ -136,15 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
     def hashed(texts):
         return texts.map(lambda t: terms(t.decode("utf-8", "replace")))
 
-    got = rows.select("y", hashed("text").alias("t")).collect() if counts.get(0) and counts.get(1) else []
-    y = np.array([r["y"] for r in got], dtype=float)
+    known = counts.get(0) and counts.get(1)
+    got = rows.select("y", hashed("text").alias("t")).toArrow().combine_chunks() if known else None
+    y = got["y"].to_numpy().astype(float) if known else np.zeros(0)
     if not 0 < y.sum() < len(y):
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.0
         return Machine(float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     taken = {k: (y == k).sum() for k in (0, 1)}
     weight = np.where(y == 1, counts[1] / taken[1], counts[0] / taken[0])
     # rows come in any order; the fit must not depend on it
-    documents = [np.array(r["t"], dtype=np.int64) for r in got]
+    documents = [np.asarray(t.values, dtype=np.int64) for chunk in got["t"].chunks for t in chunk]
     order = sorted(range(len(y)), key=lambda i: (zlib.crc32(documents[i].tobytes()), y[i]))
     return train([documents[i] for i in order], y[order], (weight / weight.mean())[order])
 
