@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mesograph.plans import local
 from mesograph.plans.durable import durable
 
 
@@ -45,7 +46,11 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", most:
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-def weak_components(graph) -> DataFrame:
-    """(id, component) of every vertex of a graph, edges taken both ways; component: its least vertex."""
-    linked = star_components(graph.edges).withColumnRenamed("id", "_id")
+def weak_components(graph, distributed: bool | None = None) -> DataFrame:
+    """(id, component) of every vertex of a graph, edges taken both ways; component: its least vertex.
+    distributed None: unless the graph is small."""
+    edges = graph.edges.select("src", "dst")
+    if local.fits(edges, graph.n) if distributed is None else not distributed:
+        return local.in_one_task(edges, local.components(graph.n), "id long, component long")
+    linked = star_components(edges).withColumnRenamed("id", "_id")
     return graph.vertices.join(linked, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("component", "id").alias("component"))

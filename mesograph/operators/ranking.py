@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mesograph.graph import Graph
+from mesograph.plans import local
 from mesograph.plans.durable import durable
 
 BASE, DAMPING = 0.15, 0.85
@@ -30,8 +31,13 @@ def step(graph: Graph, sent: DataFrame, ranks: DataFrame) -> DataFrame:
     return ranks.join(sums, F.col("id") == F.col("dst"), "left").select("id", new.alias("rank"), F.abs(new - F.col("rank")).alias("diff"))
 
 
-def pagerank(graph: Graph, tolerance: float = 0.01, most: int = 1000, trace: bool = False) -> DataFrame | tuple[DataFrame, list[float]]:
-    """(id, rank); with trace, also the largest move of each round."""
+def pagerank(graph: Graph, tolerance: float = 0.01, most: int = 1000, trace: bool = False, distributed: bool | None = None) -> DataFrame | tuple[DataFrame, list[float]]:
+    """(id, rank); with trace, also the largest move of each round. distributed None: unless the graph is small."""
+    edges = graph.edges.select("src", "dst")
+    if local.fits(edges, graph.n) if distributed is None else not distributed:
+        found = durable(local.in_one_task(edges, local.ranks(graph.n, BASE, DAMPING, tolerance, most), "id long, rank double"))
+        log = [r["rank"] for r in found.where("id < 0").orderBy(F.desc("id")).collect()] if trace else []
+        return (found.where("id >= 0"), log) if trace else found.where("id >= 0")
     sent = shares(graph).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     ranks, moves = graph.vertices.select("id", F.lit(BASE).alias("rank")), []
     while graph.n and (not moves or moves[-1] > tolerance) and len(moves) < most:

@@ -47,6 +47,28 @@ def bfs_events(spark, d):
     return traversal.bfs(fixtures.events_graph(spark, d), SOURCE)
 
 
+def bfs_levels_distributed(spark, d):
+    """The loop that large graphs take, as the three below."""
+    return traversal.bfs(_urgent(spark, d), SOURCE, distributed=True)
+
+
+def sssp_distances_distributed(spark, d):
+    return traversal.sssp(_urgent(spark, d), SOURCE, distributed=True)
+
+
+def multi_source_distributed(spark, d):
+    g = _urgent(spark, d)
+    return traversal.multi_source(g, traversal.spaced_sources(g.n, SOURCE, 3), distributed=True)
+
+
+def cc_labels_distributed(spark, d):
+    return weak_components(_urgent(spark, d), distributed=True)
+
+
+def pagerank_distributed(spark, d):
+    return _rounded(ranking.pagerank(_urgent(spark, d), distributed=True), "rank")
+
+
 def bfs_level_histogram(spark, d):
     return _levels(spark, d)[1].groupBy("level").agg(F.count(F.lit(1)).alias("vertices"))
 
@@ -254,7 +276,7 @@ def fragment_visits_bfs(spark, d):
 
 def hot_fragments_bfs(spark, d):
     _, active, plan = _active(spark, d)
-    return metrics.hot_fragments(metrics.fragment_visits(active, plan, FRAGMENT), 240)
+    return metrics.hot_fragments(metrics.fragment_visits(active, plan, FRAGMENT), 200)
 
 
 def chunk_visits_bfs(spark, d):
@@ -295,7 +317,8 @@ def node_inspect(spark, d):
     return _urgent(spark, d).inspect([0, 1, 7, 42])
 
 
-_NAMES = """bfs_levels bfs_dense bfs_fragmented bfs_events bfs_level_histogram bfs_reached_count bfs_multi_source
+_NAMES = """bfs_levels_distributed sssp_distances_distributed multi_source_distributed cc_labels_distributed pagerank_distributed
+bfs_levels bfs_dense bfs_fragmented bfs_events bfs_level_histogram bfs_reached_count bfs_multi_source
 sssp_distances sssp_unit_weight sssp_multi_source sssp_unsigned_unreached
 cc_labels cc_fragmented cc_parts cc_component_sizes cc_count
 pagerank pagerank_parts pagerank_rounds pagerank_mean pagerank_source_only_count pagerank_one_round pagerank_damped_round pagerank_frozen_round
@@ -431,7 +454,7 @@ ORACLE_SQL = {
     "range_partition_plan": f"WITH {_graph()}, {_RANGES} SELECT * FROM g",
     "needed_partitions_bfs": f"WITH RECURSIVE {_graph()}, {_BFS}, {_LEVELS}, {_RANGES} SELECT * FROM g WHERE EXISTS (SELECT 1 FROM l WHERE level = 2 AND id BETWEEN first_id AND last_id)",
     "fragment_visits_bfs": f"{_ACTIVE} SELECT ptr // {FRAGMENT} AS fragment, sum(least(degree, (ptr // {FRAGMENT} + 1) * {FRAGMENT} - ptr))::BIGINT AS visits FROM a WHERE degree > 0 GROUP BY 1",
-    "hot_fragments_bfs": f"{_ACTIVE} SELECT ptr // {FRAGMENT} AS fragment, sum(least(degree, (ptr // {FRAGMENT} + 1) * {FRAGMENT} - ptr))::BIGINT AS visits FROM a WHERE degree > 0 GROUP BY 1 HAVING sum(least(degree, (ptr // {FRAGMENT} + 1) * {FRAGMENT} - ptr)) > 240",
+    "hot_fragments_bfs": f"{_ACTIVE} SELECT ptr // {FRAGMENT} AS fragment, sum(least(degree, (ptr // {FRAGMENT} + 1) * {FRAGMENT} - ptr))::BIGINT AS visits FROM a WHERE degree > 0 GROUP BY 1 HAVING sum(least(degree, (ptr // {FRAGMENT} + 1) * {FRAGMENT} - ptr)) > 200",
     "chunk_visits_bfs": f"{_ACTIVE}, c AS (SELECT *, unnest(range(ptr // {CHUNK}, (ptr + degree - 1) // {CHUNK} + 1)) AS chunk FROM a WHERE degree > 0) SELECT iter, chunk, sum(least(ptr + degree, (chunk + 1) * {CHUNK}) - greatest(ptr, chunk * {CHUNK}))::BIGINT AS edges FROM c GROUP BY 1, 2",
     "visit_histogram_50": f"{_ACTIVE} SELECT ptr * 50 // (SELECT count(*) FROM e) AS part, sum(degree)::BIGINT AS visits FROM a WHERE degree > 0 GROUP BY 1",
     "visit_counts_bfs": f"{_ACTIVE} SELECT id, count(*)::BIGINT AS visits FROM a GROUP BY id",
@@ -440,3 +463,5 @@ ORACLE_SQL = {
     "verify_cc_edge_labels": f"WITH RECURSIVE {_graph()}, {_CC} SELECT (SELECT count(*) FROM e JOIN r a ON a.id = src JOIN r b ON b.id = dst WHERE a.x <> b.x)::BIGINT AS crossing_edges, (SELECT count(*) FROM (SELECT x, min(id) AS m FROM r GROUP BY x) WHERE x <> m)::BIGINT AS misnamed",
     "verify_pr_residual": f"{_ranks(_graph())} SELECT count(*)::BIGINT AS moving FROM pr a JOIN pr b ON a.id = b.id AND b.it = a.it + 1 WHERE a.it = (SELECT it FROM f) AND abs(a.x - b.x) > 0.01",
 }
+for _name, _same in (("bfs_levels", ""), ("sssp_distances", ""), ("cc_labels", ""), ("pagerank", ""), ("multi_source", "bfs_")):
+    ORACLE_SQL[f"{_name}_distributed"] = ORACLE_SQL[_same + _name]

@@ -25,14 +25,18 @@ def column(df, name):
     return [r[name] for r in df.orderBy("id").collect()]
 
 
-def test_small_graph(spark):
+WAYS = pytest.mark.parametrize("distributed", [True, False])
+
+
+@WAYS
+def test_small_graph(spark, distributed):
     g = graph(spark, T1, 7)
-    levels, log = traversal.bfs(g, 0, trace=True)
+    levels, log = traversal.bfs(g, 0, trace=True, distributed=distributed)
     assert column(levels, "level") == [1, 2, 2, 2, 2, 3, 3]
     assert (log.active, log.node_sum, log.rounds) == ([1, 4, 2], 7, 3)
-    assert column(traversal.sssp(g, 0), "dist") == [0, 1, 1, 1, 1, 2, 2]
-    assert column(weak_components(g), "component") == [0] * 7
-    ranks, moves = ranking.pagerank(g, trace=True)
+    assert column(traversal.sssp(g, 0, distributed=distributed), "dist") == [0, 1, 1, 1, 1, 2, 2]
+    assert column(weak_components(g, distributed), "component") == [0] * 7
+    ranks, moves = ranking.pagerank(g, trace=True, distributed=distributed)
     assert [round(x, 6) for x in column(ranks, "rank")] == [0.15, 0.181875, 0.233406, 0.332604, 0.332604, 0.291357, 0.291357]
     assert len(moves) == 4
     assert column(g.offsets(), "ptr") == [0, 4, 7, 9, 11, 11, 11]
@@ -61,13 +65,15 @@ def test_plan_and_metrics(spark):
     assert chunks == {(1, 0): 3, (1, 1): 1, (2, 1): 2, (2, 2): 3, (2, 3): 2}
 
 
-def test_zero_weights_loops_and_unreached(spark):
+@WAYS
+def test_zero_weights_loops_and_unreached(spark, distributed):
     g = graph(spark, T3, 7)
-    assert column(traversal.bfs(g, 0), "level") == [1, 2, 3, 4, 8, 8, 8]
-    assert column(traversal.sssp(g, 0), "dist") == [0, 5, 5, 8, None, None, None]
+    assert column(traversal.bfs(g, 0, distributed=distributed), "level") == [1, 2, 3, 4, 8, 8, 8]
+    dist, log = traversal.sssp(g, 0, trace=True, distributed=distributed)
+    assert column(dist, "dist") == [0, 5, 5, 8, None, None, None] and log.active == [1, 1, 1, 1]
     assert str(column(traversal.sssp(g, 0, unreached="u64"), "dist")[4]) == "18446744073709551615"
-    assert column(weak_components(g), "component") == [0, 0, 0, 0, 4, 4, 6]
-    ranks, moves = ranking.pagerank(g, trace=True)
+    assert column(weak_components(g, distributed), "component") == [0, 0, 0, 0, 4, 4, 6]
+    ranks, moves = ranking.pagerank(g, trace=True, distributed=distributed)
     assert [round(x, 6) for x in column(ranks, "rank")] == [0.287473, 0.394352, 0.485199, 2.783274, 0.15, 0.2775, 0.15]
     assert len(moves) == 26
 
@@ -76,11 +82,12 @@ def test_components_of_one_way_edges(spark):
     assert column(weak_components(graph(spark, [(0, 2), (1, 2)], 3)), "component") == [0, 0, 0]
 
 
-def test_edge_cases(spark):
+@WAYS
+def test_edge_cases(spark, distributed):
     one = Graph(spark.createDataFrame([], "src long, dst long"), 1)
-    assert column(traversal.bfs(one, 0), "level") == [1]
-    assert column(weak_components(one), "component") == [0]
-    assert column(ranking.pagerank(one), "rank") == [0.15]
+    assert column(traversal.bfs(one, 0, distributed=distributed), "level") == [1]
+    assert column(weak_components(one, distributed), "component") == [0]
+    assert column(ranking.pagerank(one, distributed=distributed), "rank") == [0.15]
     assert one.offsets().first().ptr == 0
     with pytest.raises(ValueError):
         traversal.bfs(one, 1)
@@ -90,9 +97,10 @@ def test_edge_cases(spark):
     assert traversal.spaced_sources(10, 8, 3) == [8, 8, 8]
 
 
-def test_multi_source(spark):
+@WAYS
+def test_multi_source(spark, distributed):
     g = graph(spark, T1, 7)
-    rows = {(r.source, r.id): r.level for r in traversal.multi_source(g, [0, 2]).collect()}
+    rows = {(r.source, r.id): r.level for r in traversal.multi_source(g, [0, 2], distributed=distributed).collect()}
     assert rows == {(0, 0): 1, (0, 1): 2, (0, 2): 2, (0, 3): 2, (0, 4): 2, (0, 5): 3, (0, 6): 3, (2, 2): 1, (2, 3): 2, (2, 4): 2, (2, 5): 3, (2, 6): 3}
 
 
@@ -110,13 +118,14 @@ def _dijkstra(edges, n, s):
     return near
 
 
+@WAYS
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
+def test_random_graphs(spark, seed, distributed):
     rng = random.Random(seed)
     n = 60
     edges = [(rng.randrange(n), rng.randrange(n), rng.randrange(6)) for _ in range(90)]
     g = graph(spark, edges, n)
-    dist = traversal.sssp(g, 3)
+    dist = traversal.sssp(g, 3, distributed=distributed)
     assert column(dist, "dist") == _dijkstra(edges, n, 3)
     parent = list(range(n))
 
@@ -128,7 +137,7 @@ def test_random_graphs(spark, seed):
     for a, b, _ in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    labels = weak_components(g)
+    labels = weak_components(g, distributed)
     assert column(labels, "component") == [find(v) for v in range(n)]
     assert verify.check_sssp(g, 3, dist).first().asDict() == {"relaxable": 0, "untight": 0}
     assert verify.check_components(g, labels).first().asDict() == {"crossing_edges": 0, "misnamed": 0}
