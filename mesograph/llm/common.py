@@ -61,16 +61,22 @@ BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 SALTS = 64
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``groups`` (one row a key, already durable); null keys match.
-
-    Counted first: up to BROADCAST_ROWS and BROADCAST_BYTES the groups are broadcast. Beyond that
-    each group is repeated SALTS times and a hot key's rows are dealt over SALTS tasks by ``spread``."""
+def few(groups: DataFrame, keys: list[str]) -> bool:
+    """Whether the groups, counted, are within BROADCAST_ROWS and BROADCAST_BYTES."""
     text = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
     seen = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(text + 200), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row a key, already durable); null keys match.
+
+    Few groups are broadcast; ``small`` says so where they, or a table that has all of them, have been counted before.
+    Otherwise each group is repeated SALTS times and a hot key's rows are dealt over SALTS tasks by ``spread``."""
+    small = few(groups, keys) if small is None else small
     other = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
-    if seen["n"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES:
+    if small:
         joined = rows.join(F.broadcast(other), same, how)
     else:
         salted = other.withColumn("_g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

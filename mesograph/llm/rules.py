@@ -22,9 +22,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, bind, durable, join_groups, table
+from .common import SPACE_CLASS, bind, durable, few, join_groups, table
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # a character class holds them as they are
 WINDOW = 5
 #: Share of a group inside the estimate, concentration steps, smallest group, histogram steps a unit.
 SHARE, STEPS, LEAST, FINE = 0.75, 3, 30, 64
@@ -39,7 +39,7 @@ DIMS = {"x_words": 0.5, "x_length": 0.10, "x_symbols": 0.05, "x_upper": 0.05, "x
 
 
 def repeated(words: Column) -> Column:
-    """Words that lie in a window of five found twice or more."""
+    """Words that lie in a window of five found twice or more; ``words``: their hashes."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
 
     def covered(hashes: Column) -> Column:
@@ -61,16 +61,16 @@ def repeated(words: Column) -> Column:
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang, source and the counts of each whole text, as longs."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, f"{SPACE_CLASS}+"), lambda w: w != "")
+    words = F.transform(F.array_remove(F.split(t, f"{SPACE_CLASS}+"), ""), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    without = lambda x, some: F.length(F.translate(x, some, ""))
+    without = lambda x, some: F.length(F.regexp_replace(x, f"[{some}]+", ""))
     counts = {
         "n_words": F.col("_w.n"),
-        "word_chars": without(t, SPACES),
+        "word_chars": without(t, SPACE_CLASS[1:-1]),
         "n_symbols": F.length(t) - without(t, SYMBOLS),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": F.col("_w.r"),
-        "n_upper": F.length(t) - F.length(F.regexp_replace(t, "\\p{Lu}+", "")),
+        "n_upper": F.length(t) - without(t, "\\p{Lu}"),
         "n_marks": F.length(t) - without(t, "!?"),
     }
     rows = docs.withColumn("_w", bind(words, lambda w: F.struct(F.size(w).alias("n"), repeated(w).alias("r"))))
@@ -147,9 +147,9 @@ def whitened(estimate: DataFrame) -> DataFrame:
     return estimate.select(*GROUP, "size", *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1)))
 
 
-def distances(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+def distances(rows: DataFrame, estimate: DataFrame, small: bool, how: str = "inner") -> DataFrame:
     """The rows with d2, the squared Mahalanobis distance."""
-    rows = join_groups(rows, durable(whitened(estimate)), GROUP, F.col("doc_id"), how)
+    rows = join_groups(rows, durable(whitened(estimate)), GROUP, F.col("doc_id"), how, small)
     for i, x in enumerate(DIMS):
         rest = F.col(x) - F.col(f"m{i}")
         for k in range(i):
@@ -158,12 +158,12 @@ def distances(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataF
     return rows.withColumn("d2", sum(F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(len(DIMS))))
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def concentrate(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
     """One step: the mean and covariance of the nearest share of each group."""
-    p, far = len(DIMS), distances(rows, estimate)
+    p, far = len(DIMS), distances(rows, estimate, small)
     nearness = F.log(F.col("d2") + 1e-6)
     limits = durable(_quantiles(far, GROUP, nearness, [SHARE]).select(*GROUP, F.col("_q0").alias("_limit")))
-    near = join_groups(far, limits, GROUP, F.col("doc_id")).where(nearness < F.col("_limit"))
+    near = join_groups(far, limits, GROUP, F.col("doc_id"), small=small).where(nearness < F.col("_limit"))
     # sums about the last centre: no digits cancel
     y = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(DIMS)]
     sums = [F.sum(y[i]).alias(f"s{i}") for i in range(p)] + [F.sum(y[i] * y[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -180,10 +180,11 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = durable(transformed(statistics(docs)).withColumn("base_failed", failed))
     good = rows.where(~F.col("base_failed"))
-    estimate = first_estimate(good)
+    estimate = durable(first_estimate(good))
+    small = few(estimate, GROUP)  # later estimates are of these groups
     for _ in range(STEPS):
-        estimate = concentrate(good, estimate)
-    judged = distances(rows, estimate, "left")
+        estimate = concentrate(good, estimate, small)
+    judged = distances(rows, estimate, small, "left")
     cut = SLACK * chi_quantile(CUT, len(DIMS))
     names = [c for c in rows.columns if not c.startswith("x_")]
     return judged.select(*names, "d2").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
