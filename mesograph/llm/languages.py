@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import fold, pieces, table, utf8
 
 FOLDS, HELD_OUT = 4, 2
-PER_LANGUAGE, BINS, LANGUAGES = 250, 1 << 17, 256
+PER_LANGUAGE, BINS, LANGUAGES = 200, 1 << 17, 256
 BLOCK, CHUNK, WIDTH, REMEMBERED = 64, 1 << 17, 24, 150_000
-ROUNDS, RATE, PENALTY, STAY = 20, 0.3, 1e-4, 0.95
+ROUNDS, RATE, PENALTY, STAY = 15, 0.3, 1e-4, 0.95
 
 _WORD = re.compile(r"[^\W\d_]+")
 
