@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_groups
 
-WEIGHTS, CAP, SEEDS = (5, 2, 1), 3, 8
+WEIGHTS, CAP, SEEDS = (5, 2, 1), 3, 16
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: Column | int) -> Column:
-    """Uniform in [0, 1): 32 bits of the id's SHA-256, another eight hex digits for each seed."""
-    digest = F.sha2(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), 256)
-    return F.conv(F.substr(digest, F.lit(seed) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
+def draw(doc_id: Column, seed: Column) -> Column:
+    """Uniform in [0, 1): 32 bits of a SHA-256 of the id, another eight hex digits for each seed of a digest's eight."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.floor(seed / 8).cast("string"))
+    return F.conv(F.substr(F.sha2(said.cast("binary"), 256), (seed % 8) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -99,7 +99,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         sha256(coalesce(doc_id::VARCHAR, '')) AS digest
+         sha256(coalesce(doc_id::VARCHAR, '') || ':0') AS digest0, sha256(coalesce(doc_id::VARCHAR, '') || ':1') AS digest1
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -120,7 +120,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
 ), c AS (
   SELECT d.doc_id, d.source, d.size, r.source_size, r.target, k.seed,
-         floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(d.digest, k.seed * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+         floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(CASE WHEN k.seed < 8 THEN d.digest0 ELSE d.digest1 END, k.seed % 8 * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range({SEEDS})) AS seed) k
 ), e AS (
   SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::DOUBLE - any_value(target)), seed) AS place
