@@ -7,13 +7,15 @@ import time
 
 from pyspark.sql import SparkSession
 
-from mesograph.functions.scalars import dataset_name
+from mesograph.functions.scalars import dataset_name, edges_that_fit
 from mesograph.operators import metrics, ranking, traversal, verify
 from mesograph.operators.components import weak_components
 from mesograph.plans.cache_plan import FRAGMENT, static_plan
 from mesograph.sources.csr import read_graph
 from mesograph.sources.text import append_metrics, write_values
 
+#: State of a vertex beside its edges: value, degree, pointer, and flags, in whole words.
+VERTEX_BYTES = 64
 VALUE = {"bfs": "level", "sssp": "dist", "cc": "component", "pr": "rank"}
 
 
@@ -24,7 +26,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--type", choices=list(VALUE), default="bfs")
     p.add_argument("--source", type=int, default=0)
     p.add_argument("--testTime", type=int, default=1, help="repetitions; each has the next of evenly spaced sources")
-    p.add_argument("--adviseK", type=float, help="share of the edge budget that the resident prefix takes; advised if not given")
+    p.add_argument("--model", type=int, choices=(0, 7), default=7, help="how the resident prefix is planned: 7 as much as fits, 0 the advised share; never changes a result")
+    p.add_argument("--adviseK", type=float, help="share of the edge budget that the resident prefix takes, whatever the model")
+    p.add_argument("--gpuMemory", type=float, help="gigabytes for the vertices' state and the resident edges, instead of --edgeBudget")
     p.add_argument("--edgeBudget", type=int, default=1 << 20, help="edges that fit beside the vertices' state")
     p.add_argument("--fragment", type=int, default=FRAGMENT)
     p.add_argument("--verify", action="store_true")
@@ -40,7 +44,9 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
     graph = read_graph(spark, a.input, a.layout, "add" if a.type == "sssp" else "drop")
     sources = traversal.spaced_sources(graph.n, a.source, a.testTime) if a.type in ("bfs", "sssp") else [a.source] * a.testTime
     report: dict = {"type": a.type, "input": a.input, "vertices": graph.n, "sources": sources, "seconds": []}
-    plan = static_plan(graph.reversed() if a.type == "pr" else graph, a.edgeBudget, a.fragment, a.adviseK) if a.cache_csv or a.path_csv else None
+    fits = a.edgeBudget if a.gpuMemory is None else edges_that_fit(int(a.gpuMemory * 2**30), VERTEX_BYTES, graph.n, 16 if graph.weighted else 8)
+    share = a.adviseK or (1.0 if a.model == 7 else None)
+    plan = static_plan(graph.reversed() if a.type == "pr" else graph, fits, a.fragment, share) if a.cache_csv or a.path_csv else None
     for k, source in enumerate(sources):
         began, active = time.time(), None
         if a.type == "bfs":

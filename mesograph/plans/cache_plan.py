@@ -18,6 +18,8 @@ FRAGMENT = 4096
 
 def prefix_edges(edges: int, fits: int, fragment: int = FRAGMENT, share: float | None = 1.0) -> int:
     """Edges in the prefix. share None: the advised one; 1: as many as fit."""
+    if fits <= 0:
+        return 0
     k = advised_ratio(edges, fits) if share is None else share
     return min(int(k * fits), edges) // fragment * fragment
 

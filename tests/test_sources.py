@@ -83,6 +83,8 @@ def test_command_line(spark, weighted, tmp_path):
     for kind in ("bfs", "sssp", "cc", "pr"):
         said = cli.run(spark, ["--input", path, "--type", kind, "--verify", "--fragment", "1", "--edgeBudget", "4", "--cache_csv", str(tmp_path / "c"), "--path_csv", str(tmp_path / "p"), "--output", str(tmp_path / kind)])
         assert said["passed"] and said["rows"] == 7
+    said = cli.run(spark, ["--input", path, "--model", "0", "--gpuMemory", "0.000001", "--testTime", "2", "--path_csv", str(tmp_path / "q")])
+    assert len(said["seconds"]) == 2 and said["sources"] == [0, 3]
     levels = [r.value for r in spark.read.text(str(tmp_path / "bfs")).collect()]
     assert sorted(levels) == sorted(["1", "2", "3", "4", "8", "8", "8"])
     rows = spark.read.option("header", True).csv(str(tmp_path / "c"))
