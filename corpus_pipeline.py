@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import lines, mixing, quality, simhash, tokens
+from mesograph.llm import lines, mixing, quality, similar, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least id."""
-    return _documents(simhash.one_of_each(docs))
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): the least id."""
+    return _documents(similar.one_of_each(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are their component's least id; rows that repeat that id give one row."""
-    found = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return least_of_each(docs, near_duplicates(docs, doc_id, text), doc_id)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are their component's least id, by ``found`` (doc_id, component_id)."""
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = durable(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows")))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep"))
     kept = docs.join(keep.drop("_rows").hint("shuffle_hash"), same).select(*docs.columns)
