@@ -9,9 +9,12 @@ up over partitions: no group is ever gathered in one task, and reruns agree.
 Statistics of whole texts are made inside each row from arrays; nothing is exploded or shuffled but
 one row of numbers a document.
 
+A group of fewer than ``LEAST`` documents that pass the base rules is judged by the estimate of all
+documents of its language, and where these are too few as well by that of all documents, however few
+they are: every document has a distance if any passes the base rules.
+
 Defined results: null or empty text has no words and fails the base rules; null language or source is
-a group of its own; a group of fewer than ``LEAST`` documents that pass the base rules makes no
-estimate and rejects none; repeated rows are judged alike and each kept; an empty table gives an
+a group of its own; repeated rows are judged alike and each kept; an empty table gives an
 empty one; other columns are ignored.
 """
 
@@ -110,7 +113,27 @@ def chi_quantile(q: float, p: float) -> float:
     return high
 
 
-GROUP = ["lang", "source"]
+#: Whose estimate: level 0 has a language and source, 1 a language, 2 neither.
+GROUP = ["level", "g_lang", "g_source"]
+
+
+def _at_level(rows: DataFrame, level: Column) -> DataFrame:
+    """The rows with the key of the group that judges them, or helps to make its estimate, at a level."""
+    rows = rows.withColumn("level", level)
+    return rows.withColumns({"g_lang": F.when(F.col("level") < 2, F.col("lang")), "g_source": F.when(F.col("level") < 1, F.col("source"))})
+
+
+def _levelled(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The rows, each at the first level that has documents enough, and the levels in use."""
+    sizes = durable(rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("_own")))
+    languages = durable(sizes.groupBy("lang").agg(F.sum("_own").alias("_all"), F.min("_own").alias("_min")))
+    seen = languages.agg(F.min("_min").alias("own"), F.min("_all").alias("lang")).first()
+    if (seen["own"] or 0) >= LEAST:
+        return _at_level(rows, F.lit(0)), [0]
+    spread = F.col("doc_id")
+    rows = join_groups(join_groups(rows, sizes, ["lang", "source"], spread), languages.drop("_min"), ["lang"], spread)
+    level = F.when(F.col("_own") >= LEAST, 0).when(F.col("_all") >= LEAST, 1).otherwise(2)
+    return _at_level(rows, level).drop("_own", "_all"), [0, 1] if seen["lang"] >= LEAST else [0, 1, 2]
 
 
 def _quantiles(rows: DataFrame, by: list[str], value: Column, ranks: list[float]) -> DataFrame:
@@ -132,7 +155,7 @@ def first_estimate(rows: DataFrame) -> DataFrame:
     for i, floor in enumerate(DIMS.values()):
         sd = F.greatest((at(F.col("_q2"), i) - at(F.col("_q0"), i)) / 1.349, F.lit(floor))
         out += [(sd * sd if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for j in range(i + 1)]
-    return q.groupBy(*GROUP).agg(*out, F.max("_all").alias("size")).where(F.col("size") >= LEAST)
+    return q.groupBy(*GROUP).agg(*out, F.max("_all").alias("size")).where((F.col("size") >= LEAST) | (F.col("level") == 2))
 
 
 def whitened(estimate: DataFrame) -> DataFrame:
@@ -179,15 +202,17 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row a document: counts, base_failed, d2 (null without an estimate) and kept."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = durable(transformed(statistics(docs)).withColumn("base_failed", failed))
-    good = rows.where(~F.col("base_failed"))
+    rows, levels = _levelled(rows)
+    good = rows.where(~F.col("base_failed")).drop(*GROUP)
+    good = _at_level(good.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))), F.col("_level"))
     estimate = durable(first_estimate(good))
     small = few(estimate, GROUP)  # later estimates are of these groups
     for _ in range(STEPS):
         estimate = concentrate(good, estimate, small)
     judged = distances(rows, estimate, small, "left")
     cut = SLACK * chi_quantile(CUT, len(DIMS))
-    names = [c for c in rows.columns if not c.startswith("x_")]
-    return judged.select(*names, "d2").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
+    names = [c for c in rows.columns if not c.startswith("x_") and c not in GROUP]
+    return judged.select(*names, "d2").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(False)))
 
 
 def op7_rules(spark, sf_dir: str) -> DataFrame:
