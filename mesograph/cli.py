@@ -74,6 +74,9 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         if a.verify:
             check = {"bfs": lambda: verify.check_bfs(graph, source, result), "sssp": lambda: verify.check_sssp(graph, source, result), "cc": lambda: verify.check_components(graph, result), "pr": lambda: verify.check_pagerank(graph, result)}[a.type]()
             found = check.first().asDict()
+            if a.type in ("sssp", "cc"):
+                more = verify.compare_sssp(graph, source, result) if a.type == "sssp" else verify.compare_components(graph, result)
+                found |= more.first().asDict()
             report["verify"] = found
             report["passed"] = report.get("passed", True) and not any(found.values())
         if a.output and k == len(sources) - 1:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mesograph.graph import Graph
 from mesograph.operators import ranking, traversal
+from mesograph.operators.components import weak_components
 
 
 def mismatches(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -30,21 +31,44 @@ def check_bfs(graph: Graph, source: int, levels: DataFrame) -> DataFrame:
 
 
 def check_sssp(graph: Graph, source: int, dist: DataFrame) -> DataFrame:
-    """Edges that would still shorten a path, and reached vertices besides the source without a tight in-edge."""
+    """Edges that would still shorten a path (the start counts as an edge of length 0 to the source), and reached
+    vertices that no path of tight edges joins to the source. Both are 0 for the right distances only."""
     ends = _ends(graph.with_weights(), dist, "dist")
     open_edges = ends.agg(F.count_if(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a") + F.col("weight") < F.col("b")))).alias("relaxable"))
-    tight = ends.where(F.col("a") + F.col("weight") == F.col("b")).select(F.col("dst").alias("id")).distinct()
-    loose = dist.where(F.col("dist").isNotNull() & (F.col("id") != source)).join(tight, "id", "left_anti").agg(F.count(F.lit(1)).alias("untight"))
-    return open_edges.join(F.broadcast(loose))  # one row each
+    start = dist.where(F.col("id") == source).agg(F.count_if(F.col("dist") <= 0).alias("_held"))
+    tight = Graph(ends.where(F.col("a") + F.col("weight") == F.col("b")).select("src", "dst"), graph.n)
+    joined = traversal.bfs(tight, source).where((F.col("level") <= graph.n) & (F.col("id") != source)).select("id")
+    loose = dist.where(F.col("dist").isNotNull() & ((F.col("id") != source) | (F.col("dist") != 0))).join(joined, "id", "left_anti").agg(F.count(F.lit(1)).alias("untight"))
+    both = open_edges.join(F.broadcast(start)).join(F.broadcast(loose))  # one row each
+    return both.select((F.col("relaxable") + F.when(F.col("_held") == 0, 1).otherwise(0)).alias("relaxable"), "untight")
+
+
+def compare_sssp(graph: Graph, source: int, dist: DataFrame) -> DataFrame:
+    """Against distances by the distributed loop: mismatches, reached vertices on either side, the source's distance."""
+    again = traversal.sssp(graph, source, distributed=True)
+    reached = lambda df: df.agg(F.count("dist")).first()[0]
+    held = dist.where(F.col("id") == source).agg(F.min("dist")).first()[0]
+    out = mismatches(dist, again, "dist").agg(F.count(F.lit(1)).alias("mismatches"))
+    return out.withColumns({"reached_difference": F.lit(reached(dist) - reached(again)).cast("long"), "source_distance": F.lit(held).cast("long")})
 
 
 def check_components(graph: Graph, labels: DataFrame) -> DataFrame:
-    """Edges between labels, and components whose label isn't their least vertex."""
-    crossing = _ends(graph, labels, "component").agg(F.count_if(F.col("a") != F.col("b")).alias("crossing_edges"))
-    named = labels.groupBy("component").agg(F.min("id").alias("least")).agg(F.count_if(F.col("least") != F.col("component")).alias("misnamed"))
+    """Edges between labels, and labels that aren't the least vertex of just one component, found anew by star contraction."""
+    crossing = _ends(graph, labels, "component").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("crossing_edges"))
+    again = weak_components(graph, distributed=True).select(F.col("id").alias("_id"), F.col("component").alias("_again"))
+    both = labels.join(again, F.col("id") == F.col("_id"), "full").groupBy("component").agg(F.min("id").alias("least"), F.count_if(~F.col("component").eqNullSafe(F.col("_again"))).alias("_differ"))
+    named = both.agg(F.count_if((F.col("_differ") > 0) | ~F.col("least").eqNullSafe(F.col("component"))).alias("misnamed"))
     return crossing.join(F.broadcast(named))  # one row each
 
 
+def compare_components(graph: Graph, labels: DataFrame) -> DataFrame:
+    """Against components by star contraction: mismatches, and how many more components there are."""
+    again = weak_components(graph, distributed=True)
+    number = lambda df: df.agg(F.count_distinct("component")).first()[0]
+    out = mismatches(labels, again, "component").agg(F.count(F.lit(1)).alias("mismatches"))
+    return out.withColumn("component_difference", F.lit(number(labels) - number(again)).cast("long"))
+
+
 def check_pagerank(graph: Graph, ranks: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """How many ranks one more round would move by more than the tolerance."""
     return ranking.step(graph, ranking.shares(graph), ranks).agg(F.count_if(F.col("diff") > tolerance).alias("moving"))
