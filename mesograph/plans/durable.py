@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir; only where no folder is set (tests on one machine) is a
-    temporary one chosen. A lost executor costs nothing: its rows are files elsewhere."""
-    spark = df.sparkSession
+    Only on one machine (a local master, as in tests) is a temporary folder chosen where none is set; on a
+    cluster the executors couldn't see it, so there a missing setting is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder. A lost executor costs nothing: its rows are files elsewhere."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
