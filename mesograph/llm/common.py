@@ -28,6 +28,17 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like ``names`` that none of the columns has (Spark compares names without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
@@ -72,17 +83,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
     """``rows`` with the columns of ``groups`` (one row a key, already durable); null keys match.
 
     Few groups are broadcast; ``small`` says so where they, or a table that has all of them, have been counted before.
-    Otherwise each group is repeated SALTS times and a hot key's rows are dealt over SALTS tasks by ``spread``."""
+    Otherwise each group is repeated SALTS times and a hot key's rows are dealt over SALTS tasks by ``spread``.
+    What ``groups`` adds must have names that ``rows`` doesn't; names used in between are chosen so."""
     small = few(groups, keys) if small is None else small
-    other = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    *theirs, salt, their_salt = fresh([*rows.columns, *groups.columns], *(f"_g_{k}" for k in keys), "_salt", "_g_salt")
+    other = groups.withColumnsRenamed(dict(zip(keys, theirs, strict=True)))
+    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs, strict=True)]
     if small:
         joined = rows.join(F.broadcast(other), same, how)
     else:
-        salted = other.withColumn("_g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, [*same, F.col("_salt") == F.col("_g_salt")], how).drop("_salt", "_g_salt")
-    return joined.drop(*(f"_g_{k}" for k in keys))
+        salted = other.withColumn(their_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, [*same, F.col(salt) == F.col(their_salt)], how).drop(salt, their_salt)
+    return joined.drop(*theirs)
+
+
+#: A list of 64-bit ids is broadcast only if it has been counted and has no more than this: some 16 MB.
+BROADCAST_IDS = 500_000
+
+
+def where_id(docs: DataFrame, doc_id: str, ids: DataFrame, inside: bool) -> DataFrame:
+    """The rows whose id is in ``ids`` (one column, durable, each once; null equals null), or isn't.
+
+    Few ids are broadcast, so that texts needn't be shuffled; more are joined by a shuffle, which skew may split."""
+    (name,) = fresh(docs.columns, "_id")
+    ids = ids.toDF(name)
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(some, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_semi" if inside else "left_anti")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:

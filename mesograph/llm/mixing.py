@@ -3,12 +3,15 @@
 Sizes are words. Sources in code point order, null last, take the weights in turn and share the
 size of the whole corpus; a source's target stops at ``cap`` times its own size and what it leaves is
 shared again by weight. A document is emitted floor(rate) times, rate = target / source size, plus
-one Bernoulli copy with the fraction as its probability. The Bernoulli draws are a hash of the
-document's id, so reruns agree; of ``SEEDS`` independent hash seeds each source takes the one whose
-total comes nearest its target, which keeps every document's probability and narrows the error.
+one Bernoulli copy with the fraction as its probability. The draw is a hash of the document's id and a
+seed: reruns agree, another seed draws anew, and each document's draw is independent of the others'. So a
+source's total comes near its target as such sums do: within a few times sqrt(f * (1 - f) * sum of size^2).
+
+The only windows without a partition order the table of sources (one row a source), not of documents.
 
 Defined results: null text has size 0; a source without words has rate 0; null ids hash as the empty
-text; repeated ids draw alike; an empty table gives an empty one; other columns pass through ``mix``.
+text; repeated ids draw alike; an empty table gives an empty one; other columns pass through ``mix``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,19 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, join_groups
+from .common import durable, fresh, join_groups
 
-WEIGHTS, CAP, SEEDS = (5, 2, 1), 3, 16
+WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix"
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: Column) -> Column:
-    """Uniform in [0, 1): 32 bits of a SHA-256 of the id, another eight hex digits for each seed of a digest's eight."""
-    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.floor(seed / 8).cast("string"))
-    return F.conv(F.substr(F.sha2(said.cast("binary"), 256), (seed % 8) * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
+def draw(doc_id: Column, seed: str) -> Column:
+    """Uniform in [0, 1): 52 bits of a SHA-256 of the id and the seed."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substr(F.sha2(said.cast("binary"), 256), F.lit(1), F.lit(13)), 16, 10).cast("double") / 2.0**52
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -51,42 +54,35 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return ranked.withColumn("target", target).select("source", "source_size", "weight", "target", rate.alias("rate"))
 
 
-def copies(seed: Column) -> Column:
-    return F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-
-
-def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row a source: source_size, weight, target, rate and the seed of its draws.
-
-    ``sizes`` (doc_id, source, size) is read twice, so it should be durable."""
-    sources = durable(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    rows = join_groups(sizes, sources.select("source", "rate"), ["source"], F.col("doc_id"))
-    taken = rows.groupBy("source").agg(*(F.sum(F.col("size") * copies(F.lit(k))).alias(f"_{k}") for k in range(SEEDS)))
-    both = sources.join(taken.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{k}") - F.col("target")), F.lit(k).alias("seed")) for k in range(SEEDS))))
-    return durable(both.select(*sources.columns, best["seed"].alias("seed")))
+def copies(doc_id: Column, rate: Column, seed: str) -> Column:
+    """floor(rate), and one more with the fraction as its probability."""
+    return F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     return durable(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row a source: source_size, weight, target and rate."""
+    return durable(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, copies, taken (words, repeats counted)."""
     sizes = sized(docs)
     rows = join_groups(sizes, plan(sizes, weights, cap), ["source"], F.col("doc_id"))
-    rows = rows.withColumn("copies", copies(F.col("seed")))
+    rows = rows.withColumn("copies", copies(F.col("doc_id"), F.col("rate"), seed))
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixture itself: each of the documents' rows as often as the mix takes it."""
-    chosen = plan(sized(docs), weights, cap).select("source", F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
+    rate, copy = fresh(docs.columns, "rate", "copy")
+    chosen = plan(sized(docs), weights, cap).select("source", F.col("rate").alias(rate))
     rows = join_groups(docs, chosen, ["source"], F.col("doc_id"))
-    part = F.col("_mix_rate") - F.floor("_mix_rate")
-    times = F.floor("_mix_rate") + (draw(F.col("doc_id"), F.col("_mix_seed")) < part).cast("long")
-    rows = rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return rows.select(*docs.columns)
+    times = copies(F.col("doc_id"), F.col(rate), seed).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -99,7 +95,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-         sha256(coalesce(doc_id::VARCHAR, '') || ':0') AS digest0, sha256(coalesce(doc_id::VARCHAR, '') || ':1') AS digest1
+         ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -119,13 +115,8 @@ WITH d AS (
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
 ), c AS (
-  SELECT d.doc_id, d.source, d.size, r.source_size, r.target, k.seed,
-         floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(CASE WHEN k.seed < 8 THEN d.digest0 ELSE d.digest1 END, k.seed % 8 * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range({SEEDS})) AS seed) k
-), e AS (
-  SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::DOUBLE - any_value(target)), seed) AS place
-  FROM c GROUP BY source, seed
+  SELECT d.doc_id, d.size, r.source_size, r.target, floor(r.rate)::BIGINT + CASE WHEN d.draw < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 )
-SELECT c.doc_id, c.size::BIGINT AS size, c.source_size, c.target, c.copies, (c.size * c.copies)::BIGINT AS taken
-FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source AND c.seed = e.seed AND e.place = 1
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies, (size * copies)::BIGINT AS taken FROM c
 """
