@@ -10,7 +10,7 @@
 
 Defined results: null text is one empty line; a null id is the largest id; rows with the same id are one
 document, and each is judged by its own text; keys shorter than ``LEAST`` code points stay; an empty
-table gives an empty one; other columns pass through ``dedup_lines``.
+table gives an empty one; other columns pass through ``dedup_lines``, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import LOWER_TABLE, durable, pieces, table, utf8
+from .common import LOWER_TABLE, durable, fresh, pieces, table, utf8
 
 LEAST = 10
 SLICE = 16 << 20
@@ -119,13 +119,13 @@ def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "n_lines", "n_dropped", "bitmap"])
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+def _keys(doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")]
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, text_hash, n_lines, n_dropped, bitmap: one row for each id and text (LAST: a null id)."""
-    keyed = _keyed(docs, doc_id, text).select(F.col("_doc").alias("doc"), F.col("_text_hash").alias("text_hash"), utf8(text).alias("text"))
+    keyed = docs.select(*_keys(doc_id, text), utf8(text).alias("text"))
     marks = durable(keyed.mapInArrow(_marks, "h1 long, h2 long, doc long, text_hash long, n_lines int, pos array<int>"))
     ordered = marks.where("h1 is not null").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "pos")
     lost = ordered.mapInArrow(_losers, "doc long, text_hash long, n_lines int, pos array<int>")
@@ -135,9 +135,11 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their remaining lines as text, and n_lines (before) and n_dropped.
+    """The documents with their remaining lines as text, and n_lines (before) and n_dropped (with a ``_``
+    added where the caller has columns of these names).
 
-    The bitmaps are the built side of a hash join; texts are shuffled but not sorted."""
+    Only documents that lose a line have a row on the other side of the join, and only their texts go to Python;
+    the join sorts and may spill, and adaptive execution may split it."""
 
     @pandas_udf("string")
     def kept(texts, bitmaps, counts):
@@ -145,17 +147,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
         out = []
         for t, b, n in zip(texts, bitmaps, counts, strict=True):
-            out.append(None if t is None else "\n".join(x for x, k in zip(t.split("\n"), unpack(b, n), strict=True) if k))
+            out.append(None if t is None else "\n".join(x for x, k in zip(t.split("\n"), unpack(b, int(n)), strict=True) if k))
         return pd.Series(out, dtype=object)
 
-    maps = keep_bitmaps(docs, doc_id, text).withColumnsRenamed({"doc": "_m_doc", "text_hash": "_m_hash", "n_lines": "_n_lines", "n_dropped": "_n_dropped", "bitmap": "_bitmap"})
-    rows = _keyed(docs, doc_id, text)
-    joined = rows.join(maps.hint("shuffle_hash"), (F.col("_doc") == F.col("_m_doc")) & (F.col("_text_hash") == F.col("_m_hash")))
-    # only texts that lose a line go to Python
-    whole, lost = F.coalesce(F.col(text), F.lit("")), F.col("_n_dropped") > 0
-    joined = joined.withColumn("_kept", F.coalesce(kept(F.when(lost, whole), F.when(lost, F.col("_bitmap")), "_n_lines"), whole))
-    columns = [F.col("_kept").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    maps = keep_bitmaps(docs, doc_id, text).where("n_dropped > 0").withColumnsRenamed({"doc": "m_doc", "text_hash": "m_hash"})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(doc_id, text))
+    joined = rows.join(maps, (F.col("doc") == F.col("m_doc")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    whole, lost = F.coalesce(F.col("row")[text], F.lit("")), F.col("bitmap").isNotNull()
+    counted = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    left = F.coalesce(kept(F.when(lost, whole), "bitmap", "n_lines"), whole)
+    joined = joined.select("row", left.alias("kept"), counted.alias("lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("lost"))
+    n_lines, n_dropped = fresh(docs.columns, "n_lines", "n_dropped")
+    columns = [F.col("kept" if c == text else f"row.{c}").alias(c) for c in docs.columns]
+    return joined.select(*columns, F.col("lines").alias(n_lines), F.col("lost").alias(n_dropped))
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
