@@ -1,10 +1,10 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
 A fingerprint has eight bytes. Two that differ in at most ``bits`` = 4 bits differ in at most four
-bytes, so they share at least four bytes at their positions. Any ``PROBE`` of those that lie among the
-first 4 + PROBE positions make a posting key (the positions and their bytes): every such pair meets in
-some posting. In a posting the pair's shared positional bytes are tallied, pairs below the guaranteed
-minimum of four go, the rest is verified bit by bit.
+bytes, so they share at least four bytes at their positions. The index has a posting for each choice of ``probe``
+positions and the bytes there: single positions have 256 postings each, which no large corpus can pair up. A pair that
+shares four positional bytes or more meets in at least C(4, probe) postings. Those are tallied per pair, pairs under
+that guaranteed minimum go (they share fewer bytes), and the rest is verified bit by bit.
 
 Exact copies are one fingerprint and never pairs. Dense groups of different fingerprints aren't paired
 with each other either: first each posting, in order, links only neighbours, and those links are
@@ -13,30 +13,29 @@ across components only. A link inside a component adds nothing to the components
 
 Defined results: null and empty text have fingerprint zero, linked like any other; null ids never are
 a component's id unless all are null; repeated rows give a row each; an empty table gives an empty one;
-other columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
+other columns are ignored by ``near_duplicates`` and kept by ``one_of_each``, whatever their names. Ids are integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mesograph.operators.components import star_components
-
-from .common import LOWER_TABLE, durable, pieces, table, utf8
+from . import postings
+from .common import LOWER_TABLE, durable, join_groups, pieces, table, utf8, where_id
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BYTES = 8
-#: Bytes in a posting key, 1 to 4. More make more index rows, C(4 + PROBE, PROBE) a fingerprint, and
-#: fewer chance meetings: with N fingerprints about N / 256**PROBE in a posting. 3 suits up to
-#: some hundred million different fingerprints, 4 more.
-PROBE = 3
+#: Up to so many different fingerprints a posting key has three bytes, beyond them four: N / 256**3 chance
+#: meetings in a posting. Either gives the same links.
+MANY = 1 << 27
 BLOCK = 1 << 15
 
 
@@ -73,56 +72,42 @@ def _byte(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * (BYTES - 1 - position)).bitwiseAND(255)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positions hold the same byte."""
-    both = a.bitwiseXOR(b)
-    return sum((_byte(both, i) == 0).cast("int") for i in range(BYTES))
-
-
-def _linked(a: Column, b: Column, bits: int) -> Column:
-    return (shared_bytes(a, b) >= BYTES - bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
-
-
-def postings(fps: DataFrame, bits: int, probe: int) -> DataFrame:
-    """(key, fp) for each posting that holds two fingerprints or more, with the two before it in the posting."""
-    keys = []
-    for n, chosen in enumerate(combinations(range(bits + probe), probe)):
+def keys(fps: DataFrame, probe: int) -> DataFrame:
+    """(key, node): the postings of each fingerprint ``fp``, one for each choice of positions."""
+    out = []
+    for n, chosen in enumerate(combinations(range(BYTES), probe)):
         key = F.lit(n).cast("long")
         for i in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), i))
-        keys.append(key)
-    order = Window.partitionBy("key").orderBy("fp")
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    rows = rows.withColumns({"_1": F.lag("fp", 1).over(order), "_2": F.lag("fp", 2).over(order), "_next": F.lead("fp", 1).over(order)})
-    return rows.where("_1 is not null or _next is not null").select("key", "fp", "_1", "_2")
+        out.append(key)
+    return fps.select(F.explode(F.array(*out)).alias("key"), F.col("fp").alias("node"))
 
 
-def components(fps: DataFrame, bits: int = BITS, probe: int = PROBE) -> DataFrame:
+def components(fps: DataFrame, bits: int = BITS, probe: int = 3) -> DataFrame:
     """(fp, label) for the different fingerprints ``fps`` (fp) that link to another: one label a component."""
     if not 0 <= bits < BYTES or not 1 <= probe <= BYTES - bits:
         raise ValueError("bits must be under 8 and probe from 1 to 8 - bits")
-    posts = durable(postings(fps, bits, probe))
-    near = posts.select("fp", F.explode(F.array("_1", "_2")).alias("other")).where(_linked(F.col("fp"), F.col("other"), bits)).distinct()
-    first = durable(star_components(near, "fp", "other"))
-    labelled = posts.select("key", "fp").join(first, F.col("fp") == F.col("id"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    open_posts = durable(labelled.join(mixed, "key", "left_semi"))
-    x, y = open_posts.toDF("key", "fp_x", "x"), open_posts.toDF("key", "fp_y", "y")
-    across = x.join(y, (x.key == y.key) & (F.col("x") < F.col("y")) & _linked(F.col("fp_x"), F.col("fp_y"), bits))
-    second = durable(star_components(across.select("x", "y").distinct(), "x", "y").withColumnsRenamed({"id": "_id", "component": "_c"}))
-    top = first.select("id", F.col("component").alias("label")).unionByName(second.select(F.col("_id").alias("id"), F.col("_id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+    met = postings.meetings(keys(fps, probe))
+    first = postings.components(met.where(F.col("before").isNotNull() & near("node", "before")).select(F.col("node").alias("a"), F.col("before").alias("b")).distinct())
+    pairs = postings.across(postings.still_open(met, first))
+    # the count filter: so many postings are shared if so many bytes are
+    pairs = pairs.where(F.col("tally") >= comb(BYTES - bits, probe)).where(near("a", "b"))
+    second = postings.components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).toDF("_id", "_c")
+    top = first.toDF("id", "label").unionByName(second.select(F.col("_id").alias("id"), F.col("_id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
     return top.join(second, F.col("label") == F.col("_id"), "left").select(F.col("id").alias("fp"), F.coalesce("_c", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, probe: int = PROBE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row a document."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, probe: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row a document. probe None: by how many fingerprints there are."""
     made = durable(fingerprints(docs, doc_id, text))
     least = durable(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = durable(components(least.select("fp"), bits, probe))
-    # the least id of each component, then of each fingerprint: both tables have one row a fingerprint at most
-    with_label = least.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    whole = with_label.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = durable(with_label.select("fp", "label").join(whole, "label").select("fp", "component_id"))
+    probe = probe or min(BYTES - bits, 3 if least.count() <= MANY else 4)
+    linked = durable(components(least.select("fp"), bits, probe).withColumnRenamed("fp", "_fp").join(least, F.col("_fp") == F.col("fp")).select("fp", "label", "least"))
+    # a component may have very many fingerprints: minima are partial, and the way back is salted
+    whole = durable(linked.groupBy("label").agg(F.min("least").alias("component_id")))
+    by_fp = join_groups(linked, whole, ["label"], F.col("fp")).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_c"))
+    by_fp = durable(least.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("_c", "least").alias("component_id")))
     out = made.join(by_fp, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -134,11 +119,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def least_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are their component's least id, by ``found`` (doc_id, component_id)."""
-    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = durable(found.groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows")))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep"))
-    kept = docs.join(keep.drop("_rows").hint("shuffle_hash"), same).select(*docs.columns)
-    return kept if keep.where("_rows > 1").isEmpty() else kept.dropDuplicates([doc_id])
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    by_id = durable(found.groupBy("doc_id").agg(F.count_if(stays).alias("n")))
+    kept = where_id(docs, doc_id, durable(by_id.where("n = 0").select("doc_id")), inside=False)
+    return kept if by_id.where("n > 1").isEmpty() else kept.dropDuplicates([doc_id])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
