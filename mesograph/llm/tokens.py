@@ -10,12 +10,14 @@ Most texts are scanned in one go: all paths meet wherever no piece of the vocabu
 neighbouring characters, so the spans between such places are solved on their own and remembered.
 Texts over ``GIANT`` characters are cut into chunks wherever they fall. A chunk's boundary states are the
 pieces that reach over its edges; it yields the max-plus matrix from the states at its left edge to those at
-its right edge. The matrices are combined associatively per document (they are small: a few states, and a
-document has at most 2 GB / ``CHUNK`` of them), and each chunk is then backtraced on its own.
-
-Defined results: null and empty text have no ids and decode to the empty text; U+2581 comes back as
-a space, as in the library, and each lone surrogate or broken byte as U+FFFD; repeated rows each give a row;
-an empty table gives an empty one; other columns pass through ``encode``.
+its right edge. The matrices are combined associatively in a tree, FAN neighbours to one, level by level
+in parallel; on the way back each node passes its children the states at their edges, and each chunk is then
+backtraced on its own, given the states at its two edges. No task holds more than FAN matrices or some chunks.
+
+Only model files whose settings this encoding follows are accepted (``settings``): merges, byte fallback, text as it
+is, a space put before it. Defined results: null and empty text have no ids and decode to the empty text; U+2581 comes
+back as a space, as in the library, and each lone surrogate or broken byte as U+FFFD; repeated rows each give a row;
+an empty table gives an empty one; other columns pass through ``encode`` and ``decode``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,23 +34,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import durable, pieces, sha256, table, utf8
+from .common import durable, fresh, pieces, sha256, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of a text that is cut into chunks, and of a chunk; solved spans that a worker remembers.
-GIANT, CHUNK, REMEMBERED = 1 << 16, 1 << 14, 200_000
+#: Characters of a text that is cut into chunks, and of a chunk; matrices that one combines; solved spans that a worker remembers.
+GIANT, CHUNK, FAN, REMEMBERED = 1 << 14, 1 << 12, 64, 200_000
 #: Longer spans are solved place by place and not remembered.
 LONG = 64
 NONE = -np.inf
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message's fields."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            n = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            at += n
+            yield key >> 3, data[at - n : at]
+
+
+def settings(model: bytes) -> dict:
+    """What a model file says of its kind and its treatment of text. Field numbers are the file format's."""
+    top: dict[int, bytes] = {k: v for k, v in _fields(model) if k in (2, 3)}
+    trainer, normalizer = dict(_fields(top.get(2, b""))), dict(_fields(top.get(3, b"")))
+    return {
+        "bpe": trainer.get(3, 1) == 2,
+        "byte_fallback": bool(trainer.get(35, 0)),
+        "suffix_spaces": bool(trainer.get(24, 0)),
+        "own_symbols": any(k in (30, 31) for k in trainer),
+        "as_it_is": not normalizer.get(2),
+        "space_before": bool(normalizer.get(3, 1)),
+        "fewer_spaces": bool(normalizer.get(4, 1)),
+        "spaces_escaped": bool(normalizer.get(5, 1)),
+    }
+
+
+#: What the lattice's steps rest on.
+FOLLOWED = {"bpe": True, "byte_fallback": True, "suffix_spaces": False, "own_symbols": False, "as_it_is": True, "space_before": True, "fewer_spaces": False, "spaces_escaped": True}
+
+
 class Vocabulary:
     """The pieces of a model file, which neighbours stay, and the spans solved so far."""
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
+        if wrong := {k: v for k, v in settings(model).items() if v != FOLLOWED[k]}:
+            raise ValueError(f"a model of another kind: {wrong}")
         read = SentencePieceProcessor(model_proto=model)
         ids = range(read.vocab_size())
         special = lambda i: read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i)
@@ -148,7 +198,11 @@ class Vocabulary:
         """The ids of a whole text, as 32-bit integers."""
         if not text:
             return b""
-        return b"".join(map(self.solved.__getitem__, self.spans.findall(SPACE + text.replace(" ", SPACE))))
+        return self.between(SPACE + text.replace(" ", SPACE))
+
+    def between(self, text: str) -> bytes:
+        """The ids of a stretch between two places that no piece holds."""
+        return b"".join(map(self.solved.__getitem__, self.spans.findall(text)))
 
     def decode(self, ids: np.ndarray) -> str:
         of = self.bytes_of
@@ -280,39 +334,101 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def choose(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each chunk's right edge on the best path: prefix products, then from the end back."""
-    prefix = [matrices[0]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    out = matrices[0]
     for m in matrices[1:]:
-        prefix.append(combine(prefix[-1], m))
-    states = [int(prefix[-1][0].argmax())]
-    for k in range(len(matrices) - 1, 0, -1):
-        states.append(int((prefix[k - 1][0] + matrices[k][:, states[-1]]).argmax()))
+        out = combine(out, m)
+    return out
+
+
+def choose(matrices: list[np.ndarray], first: int = 0, last: int | None = None) -> list[int]:
+    """The states at the edges of neighbouring chunks on the best path, from state ``first`` before them to ``last`` behind
+    them (None: the best): one more than there are matrices."""
+    ahead = [np.where(np.arange(matrices[0].shape[0]) == first, 0.0, NONE)]
+    for m in matrices:
+        ahead.append((ahead[-1][:, None] + m).max(axis=0))
+    states = [int(ahead[-1].argmax()) if last is None else last]
+    for k in range(len(matrices) - 1, -1, -1):
+        states.append(int((ahead[k] + matrices[k][:, states[-1]]).argmax()))
     return states[::-1]
 
 
-def trace(v: Vocabulary, text: str, left: int, right: int, begin: tuple[int, int], end: tuple[int, int]) -> list[str]:
-    """The pieces of the best path from state ``begin`` at ``left`` up to and with state ``end`` at ``right``."""
+def trace(v: Vocabulary, text: str, left: int, right: int, begin: tuple[int, int], end: tuple[int, int]) -> bytes:
+    """The ids of the best path from state ``begin`` at ``left`` up to and with state ``end`` at ``right``.
+
+    Between the first and the last place that all paths cross, the path depends on neither state."""
     if begin == end:
-        return []
-    first = text[begin[0] : begin[1]]
-    last = v.paths(text, begin[1], first, end[0])
-    return [*v.back(last, end[0], begin[1]), text[end[0] : end[1]]]
+        return b""
+    coded = lambda parts: array("i", v.ids(parts)).tobytes()
+    first, last_piece = text[begin[0] : begin[1]], text[end[0] : end[1]]
+    crossed = lambda i: i > 0 and text[i - 1 : i + 1] not in v.inside
+    one = next((i for i in range(begin[1], end[0] + 1) if crossed(i)), None)
+    if one is None:
+        return coded([*v.back(v.paths(text, begin[1], first, end[0]), end[0], begin[1]), last_piece])
+    two = next(i for i in range(end[0], one - 1, -1) if crossed(i))
+    head = v.back(v.paths(text, begin[1], first, one), one, begin[1])
+    tail = v.back(v.paths(text, two, "", end[0]), end[0], two)
+    return coded(head) + v.between(text[one:two]) + coded([*tail, last_piece])
+
+
+def _packed(m: np.ndarray) -> dict:
+    return {"_width": m.shape[1], "_cells": (m.ravel() == 0).tolist()}
+
+
+def _unpacked(x: dict) -> np.ndarray:
+    return np.where(np.array(x["_cells"], dtype=bool).reshape(-1, x["_width"]), 0.0, NONE)
+
+
+def _edges(found: DataFrame, most: int) -> DataFrame:
+    """(_row, _k, _from, _to): the states at the edges of each chunk, from the chunks' matrices (_row, _k, _width, _cells).
+
+    ``most``: chunks of the longest text. The tree has log(most) / log(FAN) levels."""
+
+    @pandas_udf("struct<_width: int, _cells: array<boolean>>")
+    def products(groups: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_packed(product([_unpacked(x) for x in g])) for g in groups], columns=["_width", "_cells"])
+
+    @pandas_udf("array<int>")
+    def chosen(groups: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([choose([_unpacked(x) for x in g], int(a), None if b < 0 else int(b)) for g, a, b in zip(groups, first, last, strict=True)], dtype=object)
+
+    levels, now = [], found
+    while True:
+        grouped = now.groupBy("_row", F.floor(F.col("_k") / FAN).cast("int").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_k", "_width", "_cells"))).alias("_m"))
+        levels.append(grouped)
+        most = -(-most // FAN)
+        if most <= 1:
+            break
+        now = grouped.select("_row", F.col("_g").alias("_k"), products("_m").alias("_p")).select("_row", "_k", "_p._width", "_p._cells")
+    states = levels.pop().select("_row", "_g", chosen("_m", F.lit(0), F.lit(-1)).alias("_states"), F.transform("_m", lambda x: x["_k"]).alias("_ks"))
+    while True:
+        edges = states.select("_row", F.posexplode("_ks").alias("_i", "_k"), "_states")
+        edges = edges.select("_row", "_k", F.get("_states", F.col("_i")).alias("_from"), F.get("_states", F.col("_i") + 1).alias("_to"))
+        if not levels:
+            return edges
+        below = levels.pop()
+        above = edges.toDF("_r", "_h", "_from", "_to")
+        states = below.join(above, (F.col("_row") == F.col("_r")) & (F.col("_g") == F.col("_h")))
+        states = states.select("_row", "_g", chosen("_m", "_from", "_to").alias("_states"), F.transform("_m", lambda x: x["_k"]).alias("_ks"))
 
 
 def _giants(giants: DataFrame, shared: Shared) -> DataFrame:
-    """_row, ids for the rows (_row, _text) of giant texts."""
+    """_row, ids for the rows (_row, _text) of giant texts, which are durable."""
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = vocabulary(shared).longest
         for batch in pieces(batches, "_text"):
             for row, raw in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 text = SPACE + raw.decode("utf-8", "replace").replace(" ", SPACE)
+                made = []
                 for k, left in enumerate(range(0, len(text), CHUNK)):
                     low = max(0, left - longest)
                     right = min(len(text), left + CHUNK)
-                    part = text[low : right + longest]
-                    yield pa.RecordBatch.from_pydict({"_row": [row], "_k": pa.array([k], pa.int32()), "_left": pa.array([left - low], pa.int32()), "_right": pa.array([right - low], pa.int32()), "_part": [part]})
+                    made.append((row, k, left - low, right - low, text[low : right + longest]))
+                    if len(made) == 256 or right == len(text):
+                        columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["_row", "_k", "_left", "_right", "_part"])
+                        made = []
 
     def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
@@ -320,85 +436,77 @@ def _giants(giants: DataFrame, shared: Shared) -> DataFrame:
             made = [transfer(v, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("_part", "_left", "_right")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_k"), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([(m.ravel() == 0).tolist() for m in made], pa.list_(pa.bool_()))], names=["_row", "_k", "_width", "_cells"])
 
-    @pandas_udf("array<int>")
-    def states(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            cells = [np.where(np.array(x["_cells"], dtype=bool).reshape(-1, x["_width"]), 0.0, NONE) for x in row]
-            out.append(choose(cells))
-        return pd.Series(out)
-
     def traced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
         for batch in pieces(batches, "_part"):
             made = []
             for text, left, right, a, b in zip(*(batch.column(c).to_pylist() for c in ("_part", "_left", "_right", "_from", "_to")), strict=True):
                 begin = edge_states(v, text, left)[a]
-                made.append(v.ids(trace(v, text, left, right, begin, edge_states(v, text, right)[b])))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_k"), pa.array(made, pa.list_(pa.int32()))], names=["_row", "_k", "ids"])
+                made.append(trace(v, text, left, right, begin, edge_states(v, text, right)[b]))
+            yield _with_ids(batch.select(["_row", "_k"]), made, "ids")
 
-    cut = durable(giants.mapInArrow(chunks, "_row long, _k int, _left int, _right int, _part string").repartition("_row", "_k"))
+    most = giants.agg(F.max(F.octet_length("_text"))).first()[0] or 0  # at least as many as characters
+    cut = giants.mapInArrow(chunks, "_row long, _k int, _left int, _right int, _part string").repartition("_row", "_k")
     found = cut.mapInArrow(matrices, "_row long, _k int, _width int, _cells array<boolean>")
-    joined = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_k", "_width", "_cells"))).alias("m"))
-    chosen = joined.select(F.col("_row").alias("_r"), states(F.col("m")).alias("_states"))
-    edge = lambda k: F.element_at("_states", k)
-    work = cut.join(chosen, F.col("_row") == F.col("_r")).select("_row", "_k", "_left", "_right", "_part", F.when(F.col("_k") == 0, 0).otherwise(edge(F.greatest(F.col("_k"), F.lit(1)))).alias("_from"), edge(F.col("_k") + 1).alias("_to"))
+    edges = _edges(found, most // CHUNK + 1).toDF("_r", "_j", "_from", "_to")
+    work = cut.join(edges, (F.col("_row") == F.col("_r")) & (F.col("_k") == F.col("_j"))).select("_row", "_k", "_left", "_right", "_part", "_from", "_to")
     parts = work.mapInArrow(traced, "_row long, _k int, ids array<int>")
     return parts.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def _with_ids(batch: pa.RecordBatch, made: list[bytes]) -> pa.RecordBatch:
+def _with_ids(batch: pa.RecordBatch, made: list[bytes], into: str) -> pa.RecordBatch:
     values = pa.Array.from_buffers(pa.int32(), sum(map(len, made)) // 4, [None, pa.py_buffer(b"".join(made))])
     offsets = np.zeros(len(made) + 1, dtype=np.int32)
     np.cumsum([len(x) // 4 for x in made], out=offsets[1:])
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, "ids"])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*batch.schema.names, into])
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int = GIANT, then=None, schema: str = "") -> DataFrame:
-    """The documents with ``ids``, the model's encoding of each whole text.
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, giant: int | None = None, then=None, schema: str = "") -> DataFrame:
+    """The documents with ``ids``, the model's encoding of each whole text (``ids_`` where they have a column of that name).
 
     ``then`` may be a further step over the record batches in the same Python worker (a function of
-    the batches and the vocabulary, which returns ``schema``)."""
-    shared = Shared(docs.sparkSession, model)
-    rows = docs.drop("ids")
+    the batches and the vocabulary, which returns ``schema``). The texts are looked at twice: for their
+    length, then to encode those that aren't giant."""
+    shared, giant = Shared(docs.sparkSession, model), GIANT if giant is None else giant
+    into, row, other = fresh(docs.columns, "ids", "_row", "_other")
 
     def after(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return then(batches, vocabulary(shared)) if then else iter(batches)
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
-        made = (_with_ids(b, [v.encode(t or "") for t in b.column(text).to_pylist()]) for b in pieces(batches, text))
+        made = (_with_ids(b, [v.encode(t or "") for t in b.column(text).to_pylist()], into) for b in pieces(batches, text))
         return after(made)
 
-    kept = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    kept = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
     out = schema if then else kept
     long = F.coalesce(F.length(text), F.lit(0)) > giant
-    giants = durable(rows.where(long).withColumn("_row", F.monotonically_increasing_id()))
-    made = _giants(giants.select("_row", utf8(text).alias("_text")), shared)
-    solved = giants.join(made.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r")).select(*rows.columns, "ids")
-    return rows.where(~long).mapInArrow(whole, out).unionByName(solved.mapInArrow(after, out) if then else solved)
+    giants = durable(docs.where(long).withColumn(row, F.monotonically_increasing_id()))
+    made = _giants(giants.select(F.col(row).alias("_row"), utf8(text).alias("_text")), shared)
+    solved = giants.join(made.toDF(other, into), F.col(row) == F.col(other)).select(*docs.columns, into)
+    return docs.where(~long).mapInArrow(whole, out).unionByName(solved.mapInArrow(after, out) if then else solved)
 
 
-def decoded(batch: pa.RecordBatch, v: Vocabulary) -> list[str]:
+def decoded(batch: pa.RecordBatch, v: Vocabulary, ids: str = "ids") -> list[str]:
     """The texts that a batch's ids stand for."""
-    ids = batch.column("ids")
-    values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    found = batch.column(ids)
+    values, offsets = found.values.to_numpy(zero_copy_only=False), found.offsets.to_pylist()
     return [v.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 
-def decode(encoded: DataFrame, into: str = "decoded", model: str = MODEL) -> DataFrame:
-    """The rows with the text that their ``ids`` stand for; null ids: the empty text."""
+def decode(encoded: DataFrame, into: str = "decoded", model: str = MODEL, ids: str = "ids") -> DataFrame:
+    """The rows with the text that their ids stand for (a ``_`` added where they have such a column); null ids: the empty text."""
     shared = Shared(encoded.sparkSession, model)
-    rows = encoded.drop(into)
+    (into,) = fresh(encoded.columns, into)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded(some, v), pa.string())], names=[*some.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded(some, v, ids), pa.string())], names=[*some.schema.names, into])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.StringType())]))
 
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_chars long, decoded_sha256 string, same_text boolean"
