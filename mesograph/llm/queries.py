@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, languages, lines, mixing, quality, rules, simhash, tokens, toxicity
+from . import audio, chat, languages, lines, mixing, pipeline, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,18 +15,10 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_lines": lines.op9_lines,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL = {
     "op6_chat": chat.OP6_SQL,
     "op9_lines": lines.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
-
-
-def _pipeline(spark, sf_dir: str):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = _pipeline

@@ -95,11 +95,13 @@ def vocabulary():
     return tokens.Vocabulary(open(tokens.MODEL, "rb").read())
 
 
-def test_encoding_is_the_librarys(docs, nothing, vocabulary):
+def test_encoding_is_the_librarys(docs, nothing, vocabulary, monkeypatch):
     from sentencepiece import SentencePieceProcessor
 
     library = SentencePieceProcessor(model_file=tokens.MODEL)
-    back = collected(tokens.decode(tokens.encode(docs, giant=2000)))
+    monkeypatch.setattr(tokens, "CHUNK", 97)
+    monkeypatch.setattr(tokens, "FAN", 3)  # several levels
+    back = collected(tokens.decode(tokens.encode(docs, giant=100)))
     assert len(back) == docs.count()
     for r in back:
         text = r["text"] or ""
@@ -119,11 +121,16 @@ def test_chunks_meet_the_whole(vocabulary):
         cuts = [(k, min(len(whole), k + size)) for k in range(0, len(whole), size)]
         matrices = [tokens.transfer(v, whole, a, b) for a, b in cuts]
         states = tokens.choose(matrices)
-        found = []
+        found = b""
         for k, (a, b) in enumerate(cuts):
-            begin = tokens.edge_states(v, whole, a)[states[k - 1] if k else 0]
-            found += tokens.trace(v, whole, a, b, begin, tokens.edge_states(v, whole, b)[states[k]])
-        assert np.array(v.ids(found), dtype="<i4").tobytes() == v.encode(text)
+            begin = tokens.edge_states(v, whole, a)[states[k]]
+            found += tokens.trace(v, whole, a, b, begin, tokens.edge_states(v, whole, b)[states[k + 1]])
+        assert found == v.encode(text)
+        # a tree's products and the states it hands down give the same
+        half = len(matrices) // 2
+        if half:
+            ends = tokens.choose([tokens.product(matrices[:half]), tokens.product(matrices[half:])])
+            assert tokens.choose(matrices[:half], ends[0], ends[1])[:-1] + tokens.choose(matrices[half:], ends[1], ends[2]) == states
         # combining is associative
         if len(matrices) > 2:
             a, b, c = matrices[:3]
@@ -399,14 +406,33 @@ def test_mixing(docs, nothing):
 
 
 def test_taken_words_come_near_targets(spark):
+    """Within five standard deviations of independent draws."""
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "abcdef"[min(rng.randrange(9), 5)]) for i in range(4000)]
     got = collected(mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")))
-    by = defaultdict(lambda: [0, 0])
+    by = defaultdict(list)
     for r in got:
-        by[r["source_size"]][0] += r["taken"]
-        by[r["source_size"]][1] = r["target"]
-    assert all(abs(a - b) <= 0.02 * b for a, b in by.values())
+        by[r["source_size"]].append(r)
+    for some in by.values():
+        target, rate = some[0]["target"], some[0]["target"] / some[0]["source_size"]
+        spread = (rate % 1 * (1 - rate % 1) * sum(r["size"] ** 2 for r in some)) ** 0.5
+        assert abs(sum(r["taken"] for r in some) - target) <= 5 * spread + 1e-6 and spread < 0.1 * target
+
+
+def test_extra_copy_has_the_fractions_probability(spark):
+    """Over ids and, for one document alone, over seeds; whatever else its source holds."""
+    often = spark.range(20000).agg(*(F.avg(mixing.copies(F.col("id"), F.lit(r), "s")).alias(f"r{k}") for k, r in enumerate((0.3, 1.3, 2.95, 2.0, 0.0)))).first()
+    assert all(abs(x - r) < 0.015 for x, r in zip(often, (0.3, 1.3, 2.95, 2.0, 0.0), strict=True)) and often[3:] == (2.0, 0.0)
+    draws = spark.range(1).select(F.array(*(mixing.draw(F.lit(7), str(k)) for k in range(300))).alias("d")).first().d
+    assert abs(np.mean(np.array(draws) < 0.3) - 0.3) < 0.1
+    # a large document among small ones draws as it would alone
+    sizes = {1: 4000} | {i: 5 for i in range(2, 22)}
+    table = lambda ids: spark.createDataFrame([(i, "w " * sizes[i], s) for i in ids for s in "a"] + [(100, "w " * 9000, "b")], "doc_id long, text string, source string")
+    for seed in ("x", "y", "z"):
+        rows = {r["doc_id"]: r for r in collected(mixing.taken(table(sizes), seed=seed))}
+        rate = rows[1]["target"] / rows[1]["source_size"]
+        want = spark.range(1).select(mixing.copies(F.lit(1), F.lit(rate), seed)).first()[0]
+        assert rows[1]["copies"] == want
 
 
 def test_salted_join(docs, monkeypatch):
