@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesograph.plans.durable import durable  # noqa: F401
@@ -112,11 +112,12 @@ def where_id(docs: DataFrame, doc_id: str, ids: DataFrame, inside: bool) -> Data
     return docs.join(some, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_semi" if inside else "left_anti")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text as bytes, y) of at most ``per_class`` labelled documents of each class outside the held-out
-    fold, chosen by a hash of their ids, and how many labels of each class there are.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, most_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text as bytes, y) of labelled documents of each class outside the held-out fold, in the order of a hash of
+    their ids, and how many labels of each class there are.
 
-    Both classes' id lists are bounded by ``per_class``, which bounds what is broadcast."""
+    The sample's bounds: ``per_class`` documents of each class, which also bounds the id list that is broadcast, and, of
+    these, as many as have ``most_bytes`` of text a class (the first of them always)."""
     y = F.col(label)
     known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
     known = durable(known.groupBy("doc_id").agg(F.max(y).alias("y")))
@@ -124,4 +125,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     chosen = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = durable(chosen[0].unionByName(chosen[1])).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    return rows.select("text", "y"), counts
+    sized = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(sized), F.lit(0))).where(F.col("_before") <= most_bytes)
+    return rows.select("doc_id", "text", "y"), counts

@@ -11,8 +11,11 @@ Forward-backward runs over blocks of ``BLOCK`` words at once: each block yields
 matrices are chained per text, then all blocks are solved inside. Very long texts go through in chunks of
 ``CHUNK`` words, chained the same way, so memory doesn't grow with the longest text.
 
-Learning takes about ``PER_LANGUAGE`` whole texts of each language, chosen by a hash of the id. Defined
-results: a text without a letter (null and empty texts too) is ``und`` with score 0; without any language to learn
+Learning takes at most ``PER_LANGUAGE`` texts of each language, chosen by a hash of the id, and at most ``SAMPLE_BYTES`` of
+text in all, an equal part for each language (but one text always); of each text at most ``SPANS`` spans of up to
+``LONGEST`` words from hashed places. A text bears one label, so its words alone would teach no switch: spans of all
+languages are shuffled and joined, one to four to a sequence, and steps between languages are learnt where
+they meet. All languages are learnt; the model has 512 KB a language. Defined results: a text without a letter (null and empty texts too) is ``und`` with score 0; without any language to learn
 every text is ``und``; words over 24 letters are known by their first and last twelve; ties go to the first
 language by name; repeated rows are labelled alike; an empty table gives an empty one; other columns are ignored.
 """
@@ -25,15 +28,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, table, utf8
+from .common import durable, fold, join_groups, pieces, table, utf8
 
 FOLDS, HELD_OUT = 4, 2
-PER_LANGUAGE, BINS, LANGUAGES = 200, 1 << 17, 256
+PER_LANGUAGE, SAMPLE_BYTES, SPANS, LONGEST, JOINED, BINS = 250, 16 << 20, 8, 40, 4, 1 << 17
 BLOCK, CHUNK, WIDTH, REMEMBERED = 64, 1 << 17, 24, 150_000
-ROUNDS, RATE, PENALTY, STAY = 15, 0.3, 1e-4, 0.95
+ROUNDS, RATE, PENALTY, STAY, HOLD = 20, 0.3, 1e-4, 0.95, 1e-3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,7 +116,7 @@ def marginals(potentials: np.ndarray, lengths: np.ndarray, steps: np.ndarray, in
     """Posterior of each word's language, texts one after another (each of one word or more).
 
     ``into`` and ``onward``: messages from before the first and from after the last word of each text, uniform
-    if not given. ``pairs`` gets the expected numbers of steps added."""
+    if not given. ``pairs`` gets the expected numbers of steps between the words of a text added."""
     n = steps.shape[0]
     laid, real, first, count = _blocks(potentials, lengths)
     matrices = _transfer(laid, real, steps)
@@ -127,6 +130,8 @@ def marginals(potentials: np.ndarray, lengths: np.ndarray, steps: np.ndarray, in
         at = first[count > k] + k
         b_out[at - 1] = _norm(np.einsum("bij,bj->bi", matrices[at], b_out[at]), 1)
     forward = np.empty_like(laid)
+    begins = np.zeros(len(laid), dtype=bool)
+    begins[first] = True
     a = a_in
     for t in range(BLOCK):
         on = real[:, t][:, None]
@@ -138,8 +143,9 @@ def marginals(potentials: np.ndarray, lengths: np.ndarray, steps: np.ndarray, in
         here = laid[:, t] * b
         if pairs is not None:
             before = forward[:, t - 1] if t else a_in
-            both = before[:, :, None] * steps[None] * here[:, None, :]
-            pairs += (_norm(both, (1, 2)) * on[:, :, None]).sum(axis=0)
+            inside = real[:, t] & ~begins if t == 0 else real[:, t]
+            both = before[inside][:, :, None] * steps[None] * here[inside][:, None, :]
+            pairs += _norm(both, (1, 2)).sum(axis=0)
         forward[:, t] = _norm(forward[:, t] * b, 1)
         b = np.where(on, _norm(here @ steps.T, 1), b)
     return forward.reshape(-1, n)[real.reshape(-1)]
@@ -168,58 +174,88 @@ def shares(field: Field, table_of: np.ndarray, idx: np.ndarray) -> np.ndarray:
     return total / len(idx)
 
 
-def train(texts: list[list[str]], labels: list[int], languages: list[str]) -> Field:
-    """Every word of a text bears the text's label. Each text weighs the same, whatever its length."""
+def joined(texts: list[list[str]], labels: list[int]) -> tuple[list[list[str]], list[list[int]]]:
+    """Sequences of one to JOINED spans of the texts, in an order drawn once, and the language of each word."""
+    random = np.random.default_rng(11)
+    spans = []
+    for words_of, label in zip(texts, labels, strict=True):
+        left = words_of
+        for at in sorted(random.integers(0, max(1, len(left)), min(SPANS, 1 + len(left) // LONGEST)).tolist()):
+            spans.append((left[at : at + int(random.integers(3, LONGEST + 1))], label))
+    order, out, gold, k = random.permutation(len(spans)), [], [], 0
+    while k < len(order):
+        some = [spans[i] for i in order[k : k + int(random.integers(1, JOINED + 1))]]
+        out.append([w for s, _ in some for w in s])
+        gold.append([label for s, label in some for _ in s])
+        k += len(some)
+    return out, gold
+
+
+def train(sequences: list[list[str]], gold: list[list[int]], languages: list[str]) -> Field:
+    """``gold``: the language of each word of each sequence."""
     n = len(languages)
     known: dict[str, int] = {}
-    idx = np.array([known.setdefault(w, len(known)) for t in texts for w in t], dtype=np.int64)
-    lengths = np.array([len(t) for t in texts])
-    gold = np.repeat(np.array(labels), lengths)
-    weight = np.repeat(1 / np.sqrt(lengths), lengths)
+    idx = np.array([known.setdefault(w, len(known)) for t in sequences for w in t], dtype=np.int64)
+    lengths = np.array([len(t) for t in sequences])
+    label = np.concatenate([np.array(g, dtype=np.int64) for g in gold])
+    # only bins that some word has are learnt
     groups = list(feature_bins(list(known)))
-    weights, steps = np.zeros((BINS, n)), np.log(np.where(np.eye(n, dtype=bool), STAY, (1 - STAY) / max(1, n - 1)))
-    start, squares, step_squares = steps.copy(), np.full((BINS, n), 1e-8), np.full((n, n), 1e-8)
-    seen = np.zeros((n, n))
-    np.add.at(seen, (np.array(labels), np.array(labels)), lengths)
-    total = lengths.sum()
+    used, place = np.unique(np.concatenate([bins.ravel() for _, bins in groups]), return_inverse=True)
+    cuts = np.cumsum([bins.size for _, bins in groups])[:-1]
+    groups = [(places, flat.reshape(bins.shape)) for (places, bins), flat in zip(groups, np.split(place, cuts), strict=True)]
+    weights, steps = np.zeros((len(used), n)), np.log(np.where(np.eye(n, dtype=bool), STAY, (1 - STAY) / max(1, n - 1)))
+    start, squares, step_squares = steps.copy(), np.full((len(used), n), 1e-8), np.full((n, n), 1e-8)
+    seen, inside = np.zeros((n, n)), np.ones(len(label), dtype=bool)
+    inside[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
+    np.add.at(seen, (label[np.flatnonzero(inside) - 1], label[inside]), 1)
+    total = len(label)
     for _ in range(ROUNDS):
         table_of = np.zeros((len(known), n))
         for places, bins in groups:
             table_of[places] = weights[bins].sum(axis=1)
         e = table_of[idx]
         pairs = np.zeros((n, n))
-        p = marginals(np.exp(e - e.max(axis=1, keepdims=True)), lengths, np.exp(steps), pairs=pairs)
-        gap = -p
-        gap[np.arange(len(gold)), gold] += 1
-        gap *= weight[:, None] / len(texts)
+        gap = -marginals(np.exp(e - e.max(axis=1, keepdims=True)), lengths, np.exp(steps), pairs=pairs)
+        gap[np.arange(total), label] += 1
+        gap /= total
         by_word = np.stack([np.bincount(idx, gap[:, k], minlength=len(known)) for k in range(n)], axis=1)
-        slope = np.zeros((BINS, n))
+        slope = np.zeros((len(used), n))
         for places, bins in groups:
             flat = bins.ravel()
             for k in range(n):
-                slope[:, k] += np.bincount(flat, np.repeat(by_word[places, k], bins.shape[1]), minlength=BINS)
+                slope[:, k] += np.bincount(flat, np.repeat(by_word[places, k], bins.shape[1]), minlength=len(used))
         slope -= PENALTY * weights
         squares += slope * slope
         weights += RATE * slope / np.sqrt(squares)
-        by_step = (seen - pairs) / total - 0.1 * (steps - start)
+        by_step = (seen - pairs) / total - HOLD * (steps - start)
         step_squares += by_step * by_step
-        steps += 0.1 * RATE * by_step / np.sqrt(step_squares)
-    return Field(languages, weights.astype(np.float32), steps)
+        steps += RATE * by_step / np.sqrt(step_squares)
+    every = np.zeros((BINS, n), dtype=np.float32)
+    every[used] = weights
+    return Field(languages, every, steps)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(lang, text) of the texts that are learnt from; the bounds are the module's."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return None
+    known = known.select("doc_id", "lang", "text")
+    counts = durable(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    most = most_bytes // max(1, counts.count())
+    # some more than asked for by a threshold on the hash, then exactly: few rows reach the windows
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(x) for k, c in sorted(counts.items()) for x in (k, min(1.0, per_language / c)))), F.col("lang"))
-    got = known.where(draw < share).select("lang", "text").collect()
-    languages = sorted(counts)
+    some = join_groups(known, counts, ["lang"], F.col("doc_id")).where(draw * F.col("_n") < 2 * per_language + 50)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id", "text")
+    some = some.withColumns({"_rank": F.row_number().over(order), "_before": F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    return some.where((F.col("_rank") <= per_language) & ((F.col("_rank") == 1) | (F.col("_before") <= most))).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> Field | None:
+    got = sample(docs, per_language, most_bytes).collect()
+    languages = sorted({r["lang"] for r in got})
     rows = sorted((zlib.crc32(r["text"].encode("utf-8", "replace")), languages.index(r["lang"]), w) for r in got if (w := words(r["text"])))
     if not rows:
         return None
-    return train([w for _, _, w in rows], [k for _, k, _ in rows], languages)
+    return train(*joined([w for _, _, w in rows], [k for _, k, _ in rows]), languages)
 
 
 class _Index(dict):

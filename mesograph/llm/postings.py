@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesograph.operators.components import star_components
@@ -61,11 +61,10 @@ def still_open(met: DataFrame, labels: DataFrame) -> DataFrame:
     return durable(rows.join(mixed, "key", "left_semi"))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b, x, y, tally): pairs of nodes with different labels x < y that share a posting, and how many they share."""
+def across(rows: DataFrame, near: Column) -> DataFrame:
+    """(x, y): labels that pairs of nodes ``a`` and ``b`` of one posting join, by the condition ``near`` on both."""
     one, two = rows.toDF("key", "a", "x"), rows.toDF("key", "b", "y")
-    met = one.join(two, (one.key == two.key) & (F.col("x") < F.col("y")))
-    return met.groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.count(F.lit(1)).alias("tally"))
+    return one.join(two, (one.key == two.key) & (F.col("x") < F.col("y")) & near).select("x", "y").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

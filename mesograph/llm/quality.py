@@ -1,16 +1,19 @@
 """Compression classifier of text quality.
 
-A text is first reduced to its shape, which keeps how it is written and drops which words it has: a run
-of letters becomes ``a``, ``A`` (capital first) or ``U`` (all capitals), of digits ``0``; a word that repeats the
-one before becomes ``=`` and a letter that counts the repeats; all else stays. Two zstandard
-dictionaries hold shapes of good and of bad labelled texts. A text's shape is compressed in blocks
-with each, the two sizes are summed over the whole text, and their difference over the larger one is
-turned into a probability by a logistic curve fitted to labelled documents.
-
-The dictionaries and the curve come from at most ``PER_CLASS`` documents of each class; class frequencies
-come from all labels. Defined results: null text is empty; an empty text has difference 0; without labels of
-both classes every score is the share of good labels, or 0.5 without any; repeated rows score alike; an
-empty table gives an empty one; other columns pass through ``keep_good``.
+Two zstandard dictionaries hold text of good and of bad labelled documents. A text is compressed in blocks with each,
+the two sizes are summed over the whole text, and their difference over the larger one is its normalised
+difference. That is done for two views: the text itself, and its shape, which keeps how it is written and drops which
+words it has (a run of letters becomes ``a``, ``A`` (capital first) or ``U`` (all capitals), of digits ``0``; a word that
+repeats the one before becomes ``=`` and a letter that counts the repeats; all else stays). A logistic curve over both
+differences, fitted to labelled documents that no dictionary has seen, gives the score.
+
+At most ``PER_CLASS`` labelled documents and ``SAMPLE_BYTES`` of text a class are learnt from: half of them, by a hash of
+the id, for the dictionaries, the rest for the curve (all for both, where a half would lack a class). Every
+document of the first half gives each dictionary an equal stretch, as long as fills it; the two of a view are cut to the
+same size. Class frequencies come from all labels. Defined results: null text is empty; an empty text has
+differences of 0; without labels of both classes every score is the share of good labels, or 0.5 without any;
+repeated rows score alike; an empty table gives an empty one; other columns pass through ``keep_good``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql.functions import pandas_udf
 from .common import durable, fold, labelled_sample, pieces, table, utf8
 
 FOLDS, HELD_OUT = 3, 1
-#: Labelled documents of a class that are learnt from, bytes of a dictionary, bytes a document gives it,
-#: bytes compressed at once, and zstandard's level.
-PER_CLASS, DICTIONARY, PIECE, BLOCK, LEVEL = 4000, 64 << 10, 300, 256, 8
+#: Labelled documents, and bytes of their text, of a class that are learnt from; zstandard's level.
+PER_CLASS, SAMPLE_BYTES, LEVEL = 4000, 24 << 20, 8
+#: Of each view: bytes of a dictionary, the least stretch that a document gives it, bytes compressed at once.
+VIEWS = {"text": (256 << 10, 1000, 1024), "shape": (64 << 10, 300, 256)}
 #: Bytes added to the size that the difference is divided by, so that a few bytes decide little about a very short text.
 PRIOR = 30
 
@@ -57,6 +61,10 @@ def shape(text: str) -> bytes:
     return " ".join(out).encode("utf-8", "replace")
 
 
+def views(text: str) -> dict[str, bytes]:
+    return {"text": text.encode("utf-8", "replace"), "shape": shape(text)}
+
+
 def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
     made = []
     for content in dictionaries:
@@ -66,87 +74,103 @@ def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
     return made
 
 
-def difference(shaped: bytes, bad: zstandard.ZstdCompressor, good: zstandard.ZstdCompressor) -> float:
+def difference(data: bytes, bad: zstandard.ZstdCompressor, good: zstandard.ZstdCompressor, block: int) -> float:
     """Normalised: positive where the good dictionary compresses better."""
     of_bad = of_good = 0
-    for i in range(0, len(shaped), BLOCK):
-        block = shaped[i : i + BLOCK]
-        of_bad += len(bad.compress(block))
-        of_good += len(good.compress(block))
+    for i in range(0, len(data), block):
+        part = data[i : i + block]
+        of_bad += len(bad.compress(part))
+        of_good += len(good.compress(part))
     return (of_bad - of_good) / (max(of_bad, of_good) + PRIOR)
 
 
-def dictionary(shapes: list[bytes]) -> bytes:
-    """Pieces of the shapes, each from a place that its own bytes choose, up to the dictionary's size."""
-    out, size = [], 0
-    for s in sorted(shapes, key=zlib.crc32):
-        at = zlib.crc32(s) % max(1, len(s) - PIECE + 1)
-        out.append(s[at : at + PIECE])
-        size += len(out[-1])
-        if size >= DICTIONARY:
-            break
-    return b"".join(out)[:DICTIONARY]
+def stretch(data: bytes, length: int) -> bytes:
+    """A stretch from a place that the bytes themselves choose."""
+    at = zlib.crc32(data) % max(1, len(data) - length + 1)
+    return data[at : at + length]
+
+
+def dictionaries(bad: list[bytes], good: list[bytes], size: int) -> list[bytes]:
+    """Both stretches joined in an order of their own, cut to one size."""
+    made = [b"".join(sorted(some, key=lambda x: (zlib.crc32(x), x))) for some in (bad, good)]
+    size = min(size, *map(len, made))
+    return [m[:size] for m in made]
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton steps on the weighted, lightly penalised likelihood."""
-    design, w = np.c_[x, np.ones(len(x))], np.zeros(2)
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and offset of the logistic curve, by Newton steps on the weighted, lightly penalised likelihood."""
+    design, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     weight = weight / weight.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -50, 50)))
         slope = design.T @ (weight * (p - y)) + 1e-5 * w
-        bend = (design.T * (weight * p * (1 - p))) @ design + 1e-5 * np.eye(2)
+        bend = (design.T * (weight * p * (1 - p))) @ design + 1e-5 * np.eye(len(w))
         w = w - np.linalg.solve(bend, slope)
-    return float(w[0]), float(w[1])
+    return w
 
 
 class Model:
-    """What scoring needs: under 200 KB, whatever it was learnt from."""
+    """What scoring needs: under 700 KB, whatever it was learnt from. ``contents``: of each view the bad and the good dictionary."""
+
+    def __init__(self, contents: dict[str, list[bytes]], weights: np.ndarray):
+        self.contents, self.weights = contents, weights
+
+    def differences(self):
+        """A function from a text to the difference in each view."""
+        tools = {view: compressors(pair) for view, pair in self.contents.items()}
+
+        def run(text: str) -> list[float]:
+            of = views(text)
+            return [difference(of[view], *pair, VIEWS[view][2]) for view, pair in tools.items()]
 
-    def __init__(self, dictionaries: list[bytes], slope: float, offset: float):
-        self.dictionaries, self.slope, self.offset = dictionaries, slope, offset
+        return run
 
     def scorer(self):
-        if not self.dictionaries:
-            return lambda text: 1 / (1 + np.exp(-self.offset))
-        bad, good = compressors(self.dictionaries)
-        score = lambda text: 1 / (1 + np.exp(-np.clip(self.slope * difference(shape(text), bad, good) + self.offset, -50, 50)))
-        return score
+        *slopes, offset = self.weights.tolist()
+        if not self.contents:
+            return lambda text: 1 / (1 + np.exp(-offset))
+        differences = self.differences()
+        return lambda text: 1 / (1 + np.exp(-np.clip(sum(a * x for a, x in zip(slopes, differences(text), strict=True)) + offset, -50, 50)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
+    rows, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class, SAMPLE_BYTES)
+    if not counts.get(0) or not counts.get(1):
+        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+        return Model({}, np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3))]))
+    flat = Model({}, np.array([np.log(counts[1] / counts[0])]))
+    rows = durable(rows.withColumn("for_curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(2)) == 1))
+    found = {(r["y"], r["for_curve"]): r["n"] for r in rows.groupBy("y", "for_curve").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(found) < 4:  # a half without one of the classes: both learn from all
+        rows = rows.withColumn("for_curve", F.lit(None).cast("boolean"))
+        found = {(k, side): sum(n for (y, _), n in found.items() if y == k) for k in (0, 1) for side in (False, True)}
+    if not all(found.values()):
+        return flat
+    lengths = {view: {k: max(least, -(-2 * size // found[k, False])) for k in (0, 1)} for view, (size, least, _) in VIEWS.items()}
+
+    @pandas_udf("text binary, shape binary")
+    def stretches(texts, ys):
+        import pandas as pd
 
-    @pandas_udf("binary")
-    def shaped(texts):
-        return texts.map(lambda t: shape(t.decode("utf-8", "replace")))
+        made = [{view: stretch(data, lengths[view][y]) for view, data in views(t.decode("utf-8", "replace")).items()} for t, y in zip(texts, ys, strict=True)]
+        return pd.DataFrame(made, columns=list(VIEWS))
 
-    @pandas_udf("binary")
-    def parts(shapes):
-        import pandas as pd
+    got = rows.where("for_curve is not true").select("y", stretches("text", "y").alias("s")).select("y", "s.*").collect()
+    contents = {view: dictionaries(*([bytes(r[view]) for r in got if r["y"] == k] for k in (0, 1)), size) for view, (size, _, _) in VIEWS.items()}
+    contents = {view: pair for view, pair in contents.items() if all(pair)}
+    if not contents:
+        return flat
+    model = Model(contents, np.zeros(len(contents) + 1))
 
-        return pd.Series([s[(at := zlib.crc32(s) % max(1, len(s) - PIECE + 1)) : at + PIECE] for s in shapes], dtype=object)
+    @pandas_udf("array<double>")
+    def differences(texts):
+        of = model.differences()
+        return texts.map(lambda t: of(t.decode("utf-8", "replace")))
 
-    if not counts.get(0) or not counts.get(1):
-        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-        return Model([], 0.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-    rows = durable(rows.select("y", shaped("text").alias("s")))
-    got = rows.select("y", parts("s").alias("p")).collect()
-    made = [dictionary([bytes(r["p"]) for r in got if r["y"] == k]) for k in (0, 1)]
-    if not all(made):
-        return Model([], 0.0, float(np.log(counts[1] / counts[0])))
-
-    @pandas_udf("double")
-    def differences(shapes):
-        bad, good = compressors(made)
-        return shapes.map(lambda s: difference(s, bad, good))
-
-    # a document whose own piece is in a dictionary compresses too well with it, in either class
-    pairs = rows.select("y", differences("s").alias("x")).collect()
+    pairs = rows.where("for_curve is not false").select("y", differences("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs], dtype=float)
-    taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weight = np.where(y == 1, counts[1] / taken[1], counts[0] / taken[0])
-    return Model(made, *calibrate(x, y, weight))
+    weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
+    return Model(contents, calibrate(x, y, weight))
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

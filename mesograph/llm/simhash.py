@@ -1,10 +1,11 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
 A fingerprint has eight bytes. Two that differ in at most ``bits`` = 4 bits differ in at most four
-bytes, so they share at least four bytes at their positions. The index has a posting for each choice of ``probe``
-positions and the bytes there: single positions have 256 postings each, which no large corpus can pair up. A pair that
-shares four positional bytes or more meets in at least C(4, probe) postings. Those are tallied per pair, pairs under
-that guaranteed minimum go (they share fewer bytes), and the rest is verified bit by bit.
+bytes, so they share at least four bytes at their positions, the guaranteed minimum, and ``probe`` of them lie among the
+first 4 + probe positions. The index has a posting for each choice of ``probe`` of those positions and the bytes there:
+single positions have 256 postings each, which no large corpus can pair up. A pair's shared positional bytes are
+tallied where it meets, from the two fingerprints (shuffling a row for each posting that a pair shares would give the same
+number); pairs that met by chance and are under the minimum go, and the rest is verified bit by bit.
 
 Exact copies are one fingerprint and never pairs. Dense groups of different fingerprints aren't paired
 with each other either: first each posting, in order, links only neighbours, and those links are
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +72,10 @@ def _byte(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * (BYTES - 1 - position)).bitwiseAND(255)
 
 
-def keys(fps: DataFrame, probe: int) -> DataFrame:
+def keys(fps: DataFrame, bits: int, probe: int) -> DataFrame:
     """(key, node): the postings of each fingerprint ``fp``, one for each choice of positions."""
     out = []
-    for n, chosen in enumerate(combinations(range(BYTES), probe)):
+    for n, chosen in enumerate(combinations(range(bits + probe), probe)):
         key = F.lit(n).cast("long")
         for i in chosen:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(F.col("fp"), i))
@@ -87,13 +87,16 @@ def components(fps: DataFrame, bits: int = BITS, probe: int = 3) -> DataFrame:
     """(fp, label) for the different fingerprints ``fps`` (fp) that link to another: one label a component."""
     if not 0 <= bits < BYTES or not 1 <= probe <= BYTES - bits:
         raise ValueError("bits must be under 8 and probe from 1 to 8 - bits")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    met = postings.meetings(keys(fps, probe))
+
+    def near(a: str, b: str) -> Column:
+        both = F.col(a).bitwiseXOR(F.col(b))
+        tally = sum((_byte(both, i) == 0).cast("int") for i in range(BYTES))
+        return (tally >= BYTES - bits) & (F.bit_count(both) <= bits)
+
+    met = postings.meetings(keys(fps, bits, probe))
     first = postings.components(met.where(F.col("before").isNotNull() & near("node", "before")).select(F.col("node").alias("a"), F.col("before").alias("b")).distinct())
-    pairs = postings.across(postings.still_open(met, first))
-    # the count filter: so many postings are shared if so many bytes are
-    pairs = pairs.where(F.col("tally") >= comb(BYTES - bits, probe)).where(near("a", "b"))
-    second = postings.components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).toDF("_id", "_c")
+    pairs = postings.across(postings.still_open(met, first), near("a", "b"))
+    second = postings.components(pairs.toDF("a", "b")).toDF("_id", "_c")
     top = first.toDF("id", "label").unionByName(second.select(F.col("_id").alias("id"), F.col("_id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
     return top.join(second, F.col("label") == F.col("_id"), "left").select(F.col("id").alias("fp"), F.coalesce("_c", "label").alias("label"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from mesograph.llm import pipeline, simhash, similar
@@ -50,7 +51,8 @@ def test_every_similar_pair(near, docs, nothing, monkeypatch):
     want = plain_least([(r.doc_id, plain_set(r.text)) for r in near.collect()])
     got = {r.doc_id: r.component_id for r in similar.near_duplicates(near).collect()}
     assert got == want and 30 < len(set(want.values())) < len(want)
-    monkeypatch.setattr(similar, "ROUNDS", 1)  # contraction changes nothing
+    monkeypatch.setattr(similar, "ROUNDS", 1)  # contraction changes nothing, nor do small blocks
+    monkeypatch.setattr(similar, "NODES", 3)
     assert {r.doc_id: r.component_id for r in similar.near_duplicates(near).collect()} == want
     assert similar.near_duplicates(docs).count() == docs.count() and similar.near_duplicates(nothing).count() == 0
 
@@ -60,3 +62,18 @@ def test_stage_takes_what_fingerprints_leave(spark, near):
     kept = pipeline.near_dedup(spark, near, "")
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == near.columns
     assert {r.doc_id for r in simhash.one_of_each(near).collect()} - want  # four bits leave more
+
+
+def test_bounds_lose_nothing():
+    """The bitmaps' bound is never under the overlap, whatever their sizes."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 3, 40, 300, 2000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for k in range(6):
+            sets.append(np.unique(np.concatenate([base[: n - n * k // 40], rng.integers(0, 1 << 63, n * k // 40, dtype=np.uint64)])))
+    maps, n = [np.frombuffer(similar.bitmap(s), dtype=np.uint64) for s in sets], np.array([len(s) for s in sets])
+    a, b = map(np.array, zip(*[(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j], strict=True))
+    share = np.array([len(x := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(x)) for i, j in zip(a, b, strict=True)])
+    allowed = similar._allowed(maps, n, a, b, 0.8)
+    assert allowed[share >= 0.8].all() and not allowed[share < 0.6].any() and (share >= 0.8).sum() > 20
