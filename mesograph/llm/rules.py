@@ -174,9 +174,9 @@ def whitened(estimate: DataFrame) -> DataFrame:
     return estimate.select(*keys, determinant.alias("log_det"), *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i, j in _pairs()))
 
 
-def distances(rows: DataFrame, estimate: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
-    """The rows with d2, the squared Mahalanobis distance."""
-    rows = join_groups(rows, whitened(estimate), keys, F.col("doc_id"), how, small)
+def distances(rows: DataFrame, white: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """The rows with d2, the squared Mahalanobis distance by whitened estimates."""
+    rows = join_groups(rows, white, keys, F.col("doc_id"), how, small)
     for i, x in enumerate(DIMS):
         rest = F.col(x) - F.col(f"m{i}")
         for k in range(i):
@@ -187,9 +187,10 @@ def distances(rows: DataFrame, estimate: DataFrame, keys: list[str], small: bool
 
 def concentrate(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
     """One step: the mean and covariance of the nearest share of each group, for each start."""
-    p, far, keys = len(DIMS), distances(rows, estimate, GROUP, small), [*GROUP, "start"]
+    # small tables are cut off from their history: planning would take longer than the work
+    p, far, keys = len(DIMS), distances(rows, durable(whitened(estimate)), GROUP, small), [*GROUP, "start"]
     nearness = F.log(F.col("d2") + 1e-6)
-    limits = _quantiles(far, keys, nearness, [SHARE]).select(*keys, F.col("_q0").alias("_limit"))
+    limits = durable(_quantiles(far, keys, nearness, [SHARE]).select(*keys, F.col("_q0").alias("_limit")))
     near = join_groups(far, limits, keys, F.col("doc_id"), small=small).where(nearness < F.col("_limit"))
     # sums about the last centre: no digits cancel
     y = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(DIMS)]
@@ -207,7 +208,7 @@ def estimates(good: DataFrame) -> tuple[DataFrame, bool]:
     small = few(estimate, [*GROUP, "start"])  # later estimates are of these groups
     for _ in range(STEPS):
         estimate = concentrate(good, estimate, small)
-    marks = whitened(estimate).select(*GROUP, F.struct("log_det", "start").alias("_d")).groupBy(*GROUP).agg(F.min("_d").alias("_d"))
+    marks = durable(whitened(estimate)).select(*GROUP, F.struct("log_det", "start").alias("_d")).groupBy(*GROUP).agg(F.min("_d").alias("_d"))
     best = marks.select(*GROUP, F.col("_d.start").alias("_start"))
     estimate = durable(join_groups(estimate, best, GROUP, F.lit(0), small=small).where("start = _start").drop("_start"))
     for _ in range(MORE):
@@ -236,7 +237,7 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = durable(transformed(statistics(docs)).withColumn("base_failed", failed))
     estimate, small = estimates(at_levels(rows.where(~F.col("base_failed")).select("doc_id", "lang", "source", *DIMS)))
-    judged = distances(rows, durable(pulled(estimate, small)), ["lang", "source"], small, "left")
+    judged = distances(rows, durable(whitened(durable(pulled(estimate, small)))), ["lang", "source"], small, "left")
     cut = SLACK * chi_quantile(CUT, len(DIMS))
     names = [c for c in rows.columns if not c.startswith("x_")]
     return judged.select(*names, "d2").withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(False)))
