@@ -9,10 +9,10 @@ from pyspark.sql import SparkSession
 
 from mesograph.functions.scalars import dataset_name, edges_that_fit
 from mesograph.operators import metrics, ranking, traversal, verify
-from mesograph.operators.components import weak_components
+from mesograph.operators.components import spread_labels, weak_components
 from mesograph.plans.cache_plan import FRAGMENT, static_plan
 from mesograph.sources.csr import read_graph
-from mesograph.sources.text import append_metrics, write_values
+from mesograph.sources.text import append_metrics, write_values, write_visits
 
 #: State of a vertex beside its edges: value, degree, pointer, and flags, in whole words.
 VERTEX_BYTES = 64
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--verify", action="store_true")
     p.add_argument("--cache_csv")
     p.add_argument("--path_csv")
+    p.add_argument("--visits", help="folder for tab-separated lines: round, vertex, first edge, degree of who was active")
     p.add_argument("--output", help="folder for one value a line, in vertex order")
     return p
 
@@ -46,7 +47,7 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
     report: dict = {"type": a.type, "input": a.input, "vertices": graph.n, "sources": sources, "seconds": []}
     fits = a.edgeBudget if a.gpuMemory is None else edges_that_fit(int(a.gpuMemory * 2**30), VERTEX_BYTES, graph.n, 16 if graph.weighted else 8)
     share = a.adviseK or (1.0 if a.model == 7 else None)
-    plan = static_plan(graph.reversed() if a.type == "pr" else graph, fits, a.fragment, share) if a.cache_csv or a.path_csv else None
+    plan = static_plan(graph.reversed() if a.type == "pr" else graph, fits, a.fragment, share) if a.cache_csv or a.path_csv or a.visits else None
     for k, source in enumerate(sources):
         began, active = time.time(), None
         if a.type == "bfs":
@@ -56,8 +57,12 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         elif a.type == "sssp":
             result, log = traversal.sssp(graph, source, trace=True)
             report["rounds"], report["node_sum"] = log.rounds, log.node_sum
+            active = log.rows()
         elif a.type == "cc":
             result = weak_components(graph)
+            if plan is not None:  # who is active is a matter of passing labels round by round
+                _, log = spread_labels(graph)
+                report["rounds"], report["node_sum"], active = log.rounds, log.node_sum, log.rows() if log.frames else None
         else:
             result, moves = ranking.pagerank(graph, trace=True)
             report["rounds"], report["max_diff"] = len(moves), moves[-1] if moves else None
@@ -65,18 +70,23 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         result = result.persist()
         report["rows"] = result.count()
         report["seconds"].append(round(time.time() - began, 3))
+        if a.type != "cc":
+            report.setdefault("round_seconds", []).append(round(report["seconds"][-1] / max(1, report["rounds"]), 4))
         if plan is not None and active is not None:
-            of = source if a.type == "bfs" else -1
+            of = source if a.type in ("bfs", "sssp") else -1
             if a.cache_csv:
                 append_metrics(metrics.cache_density(active, plan), a.cache_csv, a.type, dataset_name(a.input), of, k)
             if a.path_csv:
                 append_metrics(metrics.edge_path(active, plan), a.path_csv, a.type, dataset_name(a.input), of, k)
+            if a.visits:
+                write_visits(active, plan, f"{a.visits}/run={k}")
         if a.verify:
             check = {"bfs": lambda: verify.check_bfs(graph, source, result), "sssp": lambda: verify.check_sssp(graph, source, result), "cc": lambda: verify.check_components(graph, result), "pr": lambda: verify.check_pagerank(graph, result)}[a.type]()
             found = check.first().asDict()
-            if a.type in ("sssp", "cc"):
-                more = verify.compare_sssp(graph, source, result) if a.type == "sssp" else verify.compare_components(graph, result)
-                found |= more.first().asDict()
+            if a.type == "sssp":
+                found |= verify.compare_sssp(graph, source, result).first().asDict()
+            elif a.type == "pr":
+                found |= verify.compare_pagerank(graph, result).first().asDict()
             report["verify"] = found
             report["passed"] = report.get("passed", True) and not any(found.values())
         if a.output and k == len(sources) - 1:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesograph.graph import Graph
+from mesograph.plans.durable import durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,15 @@ def parts_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def events_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users by who acts next. The order of all events is one sequence, so this fixture sorts it in one task."""
+    """Users by who acts next. All events are one sequence: it is cut into ranges, each event learns the next one of
+    its range, and the last of a range the first of the next; only a row a range is ordered as a whole."""
     events = _table(spark, sf_dir, "events")
     n = events.agg(F.max("user_id")).first()[0] + 1
-    rows = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("dst"), (F.floor(F.abs("value")) % 20).alias("weight"))
-    return Graph(rows.where("dst is not null"), n)
+    rows = events.select("ts", "event_id", "user_id", (F.floor(F.abs("value")) % 20).alias("weight"))
+    rows = durable(rows.repartitionByRange("ts", "event_id").withColumn("_range", F.spark_partition_id()))
+    inside = rows.withColumn("dst", F.lead("user_id").over(Window.partitionBy("_range").orderBy("ts", "event_id")))
+    firsts = rows.groupBy("_range").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("_first"))
+    firsts = firsts.select(F.col("_range").alias("_r"), F.lead("_first").over(Window.orderBy("_range")).alias("_next"))
+    joined = inside.join(F.broadcast(firsts), F.col("_range") == F.col("_r"))  # as many rows as there are partitions
+    edges = joined.select(F.col("user_id").alias("src"), F.coalesce("dst", "_next").alias("dst"), "weight")
+    return Graph(edges.where("dst is not null"), n)

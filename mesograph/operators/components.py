@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mesograph.plans import local
 from mesograph.plans.durable import durable
+from mesograph.plans.fixpoint import Trace, least_values
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -46,11 +47,22 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", most:
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-def weak_components(graph, distributed: bool | None = None) -> DataFrame:
+def weak_components(graph, distributed: bool = True) -> DataFrame:
     """(id, component) of every vertex of a graph, edges taken both ways; component: its least vertex.
-    distributed None: unless the graph is small."""
+    distributed False: by one task, for a small graph."""
     edges = graph.edges.select("src", "dst")
-    if local.fits(edges, graph.n) if distributed is None else not distributed:
+    if not distributed:
+        local.check(edges, graph.n)
         return local.in_one_task(edges, local.components(graph.n), "id long, component long")
     linked = star_components(edges).withColumnRenamed("id", "_id")
     return graph.vertices.join(linked, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def spread_labels(graph) -> tuple[DataFrame, Trace]:
+    """(id, component) by passing least labels along edges both ways, round by round, and who was active in which.
+
+    As many rounds as the longest of the shortest ways to a least vertex: for what a round reads, and for checking."""
+    start = graph.vertices.withColumn("value", F.col("id"))
+    both = graph.edges.select("src", "dst").unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found, trace = least_values(both, start, F.col("value"), keep=True)
+    return found.withColumnRenamed("value", "component"), trace

@@ -6,13 +6,13 @@ out-edges send nothing. Rounds go on while some rank moved by more than the tole
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mesograph.graph import Graph
 from mesograph.plans import local
 from mesograph.plans.durable import durable
+from mesograph.plans.fixpoint import Edges, static_plans
 
 BASE, DAMPING = 0.15, 0.85
 
@@ -27,25 +27,36 @@ def shares(graph: Graph) -> DataFrame:
 def step(graph: Graph, sent: DataFrame, ranks: DataFrame) -> DataFrame:
     """(id, rank, diff) after one round from (id, rank)."""
     sums = sent.join(ranks.select(F.col("id").alias("_i"), F.col("rank").alias("_r")), F.col("src") == F.col("_i")).groupBy("dst").agg(F.sum(F.col("share") * F.col("_r")).alias("_sum"))
+    return _renewed(ranks, sums)
+
+
+def _renewed(ranks: DataFrame, sums: DataFrame) -> DataFrame:
     new = F.lit(BASE) + DAMPING * F.coalesce("_sum", F.lit(0.0))
     return ranks.join(sums, F.col("id") == F.col("dst"), "left").select("id", new.alias("rank"), F.abs(new - F.col("rank")).alias("diff"))
 
 
-def pagerank(graph: Graph, tolerance: float = 0.01, most: int = 1000, trace: bool = False, distributed: bool | None = None) -> DataFrame | tuple[DataFrame, list[float]]:
-    """(id, rank); with trace, also the largest move of each round. distributed None: unless the graph is small."""
-    edges = graph.edges.select("src", "dst")
-    if local.fits(edges, graph.n) if distributed is None else not distributed:
+def pagerank(graph: Graph, tolerance: float = 0.01, most: int = 1000, trace: bool = False, distributed: bool = True) -> DataFrame | tuple[DataFrame, list[float]]:
+    """(id, rank); with trace, also the largest move of each round. distributed False: by one task, for a small graph.
+
+    Shares lie by source and ranks by vertex, in the same partitions; only sums are shuffled."""
+    if not distributed:
+        edges = graph.edges.select("src", "dst")
+        local.check(edges, graph.n)
         found = durable(local.in_one_task(edges, local.ranks(graph.n, BASE, DAMPING, tolerance, most), "id long, rank double"))
         log = [r["rank"] for r in found.where("id < 0").orderBy(F.desc("id")).collect()] if trace else []
         return (found.where("id >= 0"), log) if trace else found.where("id >= 0")
-    sent = shares(graph).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    ranks, moves = graph.vertices.select("id", F.lit(BASE).alias("rank")), []
-    while graph.n and (not moves or moves[-1] > tolerance) and len(moves) < most:
-        seen = Observation()  # a maximum: a task that runs twice doesn't change it
-        new = durable(step(graph, sent, ranks).observe(seen, F.max("diff").alias("most")))
-        moves.append(seen.get["most"])
-        ranks = new.select("id", "rank")
-    sent.unpersist()
+    moves: list[float] = []
+    with static_plans(graph.spark):
+        sent = Edges(shares(graph))
+        parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranks = durable(graph.vertices.select("id", F.lit(BASE).alias("rank")).repartition(parts, "id").sortWithinPartitions("id"))
+        while graph.n and (not moves or moves[-1] > tolerance) and len(moves) < most:
+            seen = Observation()  # a maximum: a task that runs twice doesn't change it
+            sums = sent.from_ids(ranks).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("_sum"))
+            new = durable(_renewed(ranks, sums.hint("merge")).observe(seen, F.max("diff").alias("most")))
+            moves.append(seen.get["most"])
+            ranks = new.select("id", "rank")
+        sent.release()
     return (ranks, moves) if trace else ranks
 
 

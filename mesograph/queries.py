@@ -47,26 +47,26 @@ def bfs_events(spark, d):
     return traversal.bfs(fixtures.events_graph(spark, d), SOURCE)
 
 
-def bfs_levels_distributed(spark, d):
-    """The loop that large graphs take, as the three below."""
-    return traversal.bfs(_urgent(spark, d), SOURCE, distributed=True)
+def bfs_levels_one_task(spark, d):
+    """By NumPy in one task, for a graph whose size allows it; as the four below."""
+    return traversal.bfs(_urgent(spark, d), SOURCE, distributed=False)
 
 
-def sssp_distances_distributed(spark, d):
-    return traversal.sssp(_urgent(spark, d), SOURCE, distributed=True)
+def sssp_distances_one_task(spark, d):
+    return traversal.sssp(_urgent(spark, d), SOURCE, distributed=False)
 
 
-def multi_source_distributed(spark, d):
+def multi_source_one_task(spark, d):
     g = _urgent(spark, d)
-    return traversal.multi_source(g, traversal.spaced_sources(g.n, SOURCE, 3), distributed=True)
+    return traversal.multi_source(g, traversal.spaced_sources(g.n, SOURCE, 3), distributed=False)
 
 
-def cc_labels_distributed(spark, d):
-    return weak_components(_urgent(spark, d), distributed=True)
+def cc_labels_one_task(spark, d):
+    return weak_components(_urgent(spark, d), distributed=False)
 
 
-def pagerank_distributed(spark, d):
-    return _rounded(ranking.pagerank(_urgent(spark, d), distributed=True), "rank")
+def pagerank_one_task(spark, d):
+    return _rounded(ranking.pagerank(_urgent(spark, d), distributed=False), "rank")
 
 
 def bfs_level_histogram(spark, d):
@@ -313,11 +313,21 @@ def verify_pr_residual(spark, d):
     return verify.check_pagerank(g, ranking.pagerank(g))
 
 
+def verify_sssp_again(spark, d):
+    g = _urgent(spark, d)
+    return verify.compare_sssp(g, SOURCE, traversal.sssp(g, SOURCE))
+
+
+def verify_pr_again(spark, d):
+    g = _urgent(spark, d)
+    return verify.compare_pagerank(g, ranking.pagerank(g))
+
+
 def node_inspect(spark, d):
     return _urgent(spark, d).inspect([0, 1, 7, 42])
 
 
-_NAMES = """bfs_levels_distributed sssp_distances_distributed multi_source_distributed cc_labels_distributed pagerank_distributed
+_NAMES = """bfs_levels_one_task sssp_distances_one_task multi_source_one_task cc_labels_one_task pagerank_one_task
 bfs_levels bfs_dense bfs_fragmented bfs_events bfs_level_histogram bfs_reached_count bfs_multi_source
 sssp_distances sssp_unit_weight sssp_multi_source sssp_unsigned_unreached
 cc_labels cc_fragmented cc_parts cc_component_sizes cc_count
@@ -326,7 +336,7 @@ out_degree in_degree csr_offsets csc_offsets symmetrize strip_weights vertex_cou
 static_plan static_plan_advised static_vertex_count frontier_split cache_density_bfs cache_density_summary_bfs
 edge_path_bfs edge_path_summary_bfs edge_path_pr overload_share_bfs node_sum_bfs batch_plan range_partition_plan needed_partitions_bfs
 fragment_visits_bfs hot_fragments_bfs chunk_visits_bfs visit_histogram_50 visit_counts_bfs
-verify_bfs verify_sssp_relaxable_edges verify_cc_edge_labels verify_pr_residual""".split()
+verify_bfs verify_sssp_relaxable_edges verify_cc_edge_labels verify_pr_residual verify_sssp_again verify_pr_again""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 # --- the same in DuckDB ----------------------------------------------------------------------------
@@ -458,10 +468,12 @@ ORACLE_SQL = {
     "chunk_visits_bfs": f"{_ACTIVE}, c AS (SELECT *, unnest(range(ptr // {CHUNK}, (ptr + degree - 1) // {CHUNK} + 1)) AS chunk FROM a WHERE degree > 0) SELECT iter, chunk, sum(least(ptr + degree, (chunk + 1) * {CHUNK}) - greatest(ptr, chunk * {CHUNK}))::BIGINT AS edges FROM c GROUP BY 1, 2",
     "visit_histogram_50": f"{_ACTIVE} SELECT ptr * 50 // (SELECT count(*) FROM e) AS part, sum(degree)::BIGINT AS visits FROM a WHERE degree > 0 GROUP BY 1",
     "visit_counts_bfs": f"{_ACTIVE} SELECT id, count(*)::BIGINT AS visits FROM a GROUP BY id",
+    "verify_sssp_again": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS reached_difference, 0::BIGINT AS source_distance",
+    "verify_pr_again": "SELECT 0::BIGINT AS mismatches",
     "verify_bfs": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS reached_difference",
     "verify_sssp_relaxable_edges": f"WITH RECURSIVE {_graph()}, {_SSSP} SELECT count(*) FILTER (a.x IS NOT NULL AND (b.x IS NULL OR a.x + weight < b.x))::BIGINT AS relaxable, (SELECT count(*) FROM r WHERE id <> {SOURCE} AND NOT EXISTS (SELECT 1 FROM e JOIN r q ON q.id = e.src WHERE e.dst = r.id AND q.x + e.weight = r.x))::BIGINT AS untight FROM e LEFT JOIN r a ON a.id = src LEFT JOIN r b ON b.id = dst",
     "verify_cc_edge_labels": f"WITH RECURSIVE {_graph()}, {_CC} SELECT (SELECT count(*) FROM e JOIN r a ON a.id = src JOIN r b ON b.id = dst WHERE a.x <> b.x)::BIGINT AS crossing_edges, (SELECT count(*) FROM (SELECT x, min(id) AS m FROM r GROUP BY x) WHERE x <> m)::BIGINT AS misnamed",
     "verify_pr_residual": f"{_ranks(_graph())} SELECT count(*)::BIGINT AS moving FROM pr a JOIN pr b ON a.id = b.id AND b.it = a.it + 1 WHERE a.it = (SELECT it FROM f) AND abs(a.x - b.x) > 0.01",
 }
 for _name, _same in (("bfs_levels", ""), ("sssp_distances", ""), ("cc_labels", ""), ("pagerank", ""), ("multi_source", "bfs_")):
-    ORACLE_SQL[f"{_name}_distributed"] = ORACLE_SQL[_same + _name]
+    ORACLE_SQL[f"{_name}_one_task"] = ORACLE_SQL[_same + _name]

@@ -3,7 +3,9 @@
 spark.read.format("csrgraph").option("layout", ...).load(path) gives (src, dst[, weight]). A partition is a range of
 edges, not of vertices, so one vertex with very many edges is read by many tasks; each finds its first row by
 bisecting the pointers. Writers sort edges by range partitioning, turn each partition to bytes on the
-executors, and the driver appends one block after another: its memory holds one block.
+executors, and write them there, each at its own place of the one file (places follow from the counts), if all see its
+path: under a local master, or where the caller says so (``shared=True``). Into other stores, whose files can only
+be appended to, the driver writes one block after another and holds one at a time; all bytes then pass through it.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from mesograph.graph import Graph
+from mesograph.plans.durable import durable
 from mesograph.sources.layouts import LAYOUTS, Layout, by_suffix
 
 BATCH = 1 << 16
+#: Bytes of edges that a task reads at most, and the least for which a file is cut at all.
+PART, SMALL = 128 << 20, 1 << 20
 PAIR = np.dtype([("src", "<u4"), ("dst", "<u4")])
 
 
@@ -45,7 +51,7 @@ class CsrReader(DataSourceReader):
     def __init__(self, options: dict, weighted: bool):
         self.path = options.get("path")
         self.layout = options.get("layout") or by_suffix(self.path)
-        self.parts = int(options.get("partitions", 8))
+        self.parts = int(options.get("partitions") or 0)
         self.default = int(options.get("defaultweight", 1))
         self.weighted = weighted
 
@@ -66,7 +72,10 @@ class CsrReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         with _open(self.path) as file:
             _, e = self._header(file)
-        cuts = [e * k // self.parts for k in range(self.parts + 1)]
+        size = e * (PAIR.itemsize if self.layout == "pairs" else LAYOUTS[self.layout].edge.itemsize)
+        # by the bytes: a part for each PART, but some for middling files
+        parts = self.parts or max(1, -(-size // PART), min(8, size // SMALL))
+        cuts = [e * k // parts for k in range(parts + 1)]
         return [_Range(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
@@ -128,11 +137,11 @@ class CsrSource(DataSource):
         return CsrReader(dict(self.options), "weight" in schema.names)
 
 
-def read_graph(spark: SparkSession, path: str, layout: str | None = None, weights: str = "auto", partitions: int = 8) -> Graph:
+def read_graph(spark: SparkSession, path: str, layout: str | None = None, weights: str = "auto", partitions: int | None = None) -> Graph:
     """The graph of a file. weights: auto keeps what there is, drop takes them off, add puts 1 where there are none."""
     layout = layout or by_suffix(path)
     spark.dataSource.register(CsrSource)
-    edges = spark.read.format("csrgraph").option("layout", layout).option("weights", weights).option("partitions", partitions).load(path)
+    edges = spark.read.format("csrgraph").option("layout", layout).option("weights", weights).option("partitions", partitions or 0).load(path)
     if layout == "pairs":
         return Graph.of(edges)
     with _open(path) as file:
@@ -140,68 +149,136 @@ def read_graph(spark: SparkSession, path: str, layout: str | None = None, weight
     return Graph(edges, n)
 
 
-def read_out_degrees(path: str, layout: str = "csc64") -> np.ndarray:
-    """The out-degree block of a file by targets."""
-    with _open(path) as file:
-        n, _ = CsrReader({"path": path, "layout": layout}, False)._header(file)
-        return np.frombuffer(file.read_at(4 * n, 2 * LAYOUTS[layout].head), dtype="<u4").astype(np.int64)
+def _packed(kind: np.dtype, batch: pa.RecordBatch) -> bytes:
+    out = np.empty(batch.num_rows, dtype=kind)
+    for k, name in enumerate(kind.names):
+        values = batch.column(k).to_numpy(zero_copy_only=False)
+        if len(values) and (values.min() < 0 or kind[name].itemsize < 8 and values.max() >= 1 << 8 * kind[name].itemsize):
+            raise ValueError(f"{name} doesn't fit {kind[name].itemsize} bytes")
+        out[name] = values
+    return out.tobytes()
 
 
 def _blocks(rows: DataFrame, kind: np.dtype) -> Iterator[bytes]:
     """The sorted rows' bytes, made on the executors, partition after partition."""
-    names = kind.names
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty(batch.num_rows, dtype=kind)
-            for k, name in enumerate(names):
-                values = batch.column(k).to_numpy(zero_copy_only=False)
-                if len(values) and (values.min() < 0 or kind[name].itemsize < 8 and values.max() >= 1 << 8 * kind[name].itemsize):
-                    raise ValueError(f"{name} doesn't fit {kind[name].itemsize} bytes")
-                out[name] = values
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(kind, batch)], pa.binary())], names=["b"])
 
     for row in rows.mapInArrow(packed, "b binary").toLocalIterator(prefetchPartitions=True):
         yield bytes(row["b"])
 
 
-def write_graph(graph: Graph, path: str, layout: str) -> None:
+def _in_place(rows: DataFrame, kind: np.dtype, path: str, at: int) -> int:
+    """Writes the sorted rows' bytes into an existing file from byte ``at`` on, each partition by its own task; the end."""
+    rows = durable(rows)  # so that partitions are the same when they are counted and when they are written
+    counted = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, end = {}, at
+    for p in sorted(counted):
+        starts[p], end = end, end + counted[p] * kind.itemsize
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, done = starts.get(TaskContext.get().partitionId()), 0
+        if place is not None:
+            with open(path, "r+b") as file:
+                file.seek(place)
+                for batch in batches:
+                    done += file.write(_packed(kind, batch))
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    done = rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if at + done != end:
+        raise OSError(f"{path}: {done} bytes written, {end - at} expected")
+    return end
+
+
+def _write(path: str, head: np.ndarray, parts: list[tuple[DataFrame, np.dtype]], spark: SparkSession, shared: bool) -> None:
+    """One file: the header's numbers, then the rows of each part."""
+    if "://" not in path and (shared or spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+        with open(path, "wb") as file:
+            file.write(head.tobytes())
+        at = head.nbytes
+        for rows, kind in parts:
+            at = _in_place(rows, kind, path, at)
+        return
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_output_stream(place) as out:
+        out.write(head.tobytes())
+        for rows, kind in parts:
+            for block in _blocks(rows, kind):
+                out.write(block)
+
+
+def _number(width: int) -> np.dtype:
+    return np.dtype([("x", f"<u{width}")])
+
+
+def write_graph(graph: Graph, path: str, layout: str, shared: bool = False) -> None:
     """One file of the layout. Rows are in order of the other end; missing weights are 1."""
     form = LAYOUTS[layout]
     row, to = ("dst", "src") if form.by_target else ("src", "dst")
     if form.weight:
         graph = graph.with_weights()
     columns = [to, *(["weight"] if form.weight else [])]
-    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    number = lambda w: np.dtype([("x", f"<u{w}")])
-    with system.open_output_stream(place) as out:
-        out.write(np.array([graph.n, graph.edges.count()], dtype=f"<u{form.head}").tobytes())
-        if form.by_target:
-            for block in _blocks(graph.degrees("src").orderBy("id").select("degree"), number(4)):
-                out.write(block)
-        for block in _blocks(graph.offsets(row).orderBy("id").select("ptr"), number(form.head)):
-            out.write(block)
-        for block in _blocks(graph.edges.orderBy(row, *columns).select(*columns), form.edge):
-            out.write(block)
+    parts = [(graph.degrees("src").orderBy("id").select("degree"), _number(4))] if form.by_target else []
+    parts += [(graph.offsets(row).orderBy("id").select("ptr"), _number(form.head)), (graph.edges.orderBy(row, *columns).select(*columns), form.edge)]
+    _write(path, np.array([graph.n, graph.edges.count()], dtype=f"<u{form.head}"), parts, graph.spark, shared)
 
 
-def write_pairs(graph: Graph, path: str) -> None:
+def write_pairs(graph: Graph, path: str, shared: bool = False) -> None:
     """Headerless (u32, u32) pairs."""
-    with fs.LocalFileSystem().open_output_stream(path) as out:
-        for block in _blocks(graph.edges.orderBy("src", "dst").select("src", "dst"), PAIR):
-            out.write(block)
+    _write(path, np.zeros(0, dtype="<u8"), [(graph.edges.orderBy("src", "dst").select("src", "dst"), PAIR)], graph.spark, shared)
 
 
-def write_bel(graph: Graph, path: str) -> None:
+def write_bel(graph: Graph, path: str, shared: bool = False) -> None:
     """Three files, path.col, .dst and .val, each a count, a zero and its numbers: pointers, targets, weights."""
     graph = graph.with_weights()
-    edges = graph.edges.orderBy("src", "dst", "weight")
-    parts = {"col": (graph.offsets().orderBy("id").select("ptr"), 8), "dst": (edges.select("dst"), 8), "val": (edges.select("weight"), 4)}
-    for name, (rows, width) in parts.items():
-        with fs.LocalFileSystem().open_output_stream(f"{path}.{name}") as out:
-            out.write(np.array([graph.n if name == "col" else graph.edges.count(), 0], dtype="<u8").tobytes())
-            for block in _blocks(rows, np.dtype([("x", f"<u{width}")])):
-                out.write(block)
+    edges, e = graph.edges.orderBy("src", "dst", "weight"), graph.edges.count()
+    for name, rows, width, n in (("col", graph.offsets().orderBy("id").select("ptr"), 8, graph.n), ("dst", edges.select("dst"), 8, e), ("val", edges.select("weight"), 4, e)):
+        _write(f"{path}.{name}", np.array([n, 0], dtype="<u8"), [(rows, _number(width))], graph.spark, shared)
+
+
+def read_numbers(spark: SparkSession, path: str, width: int, skip: int = 16, n: int | None = None) -> DataFrame:
+    """(place, value) of ``n`` (or all) unsigned numbers of a file after ``skip`` bytes. Each task reads its own bytes."""
+    if n is None:
+        with _open(path) as file:
+            n = (file.size() - skip) // width
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _open(path) as file:
+            for batch in batches:
+                for first in batch.column("id").to_pylist():
+                    last = min(n, first + BATCH)
+                    values = np.frombuffer(file.read_at((last - first) * width, skip + first * width), dtype=f"<u{width}")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), _longs(values)], names=["place", "value"])
+
+    return spark.range(0, n, BATCH).mapInArrow(run, "place long, value long")
+
+
+def out_degrees(spark: SparkSession, path: str, layout: str = "csc64") -> DataFrame:
+    """(place, value): the out-degree block of a file by targets."""
+    with _open(path) as file:
+        n, _ = CsrReader({"path": path, "layout": layout}, False)._header(file)
+    return read_numbers(spark, path, 4, 2 * LAYOUTS[layout].head, n)
+
+
+def read_bel(spark: SparkSession, path: str) -> Graph:
+    """The weighted graph of three files, path.col, .dst and .val. Edges are joined with their sources and weights by their place."""
+    sizes = {}
+    for name in ("col", "dst", "val"):
+        with _open(f"{path}.{name}") as file:
+            sizes[name] = int.from_bytes(file.read_at(8, 0), "little")
+    if sizes["dst"] != sizes["val"]:
+        raise ValueError(f"{path}: {sizes['dst']} targets, but {sizes['val']} weights")
+    rows = read_numbers(spark, f"{path}.col", 8).select(F.col("place").alias("src"), F.col("value").alias("ptr"))
+    ends = read_numbers(spark, f"{path}.col", 8).select((F.col("place") - 1).alias("_before"), F.col("value").alias("_next"))
+    rows = rows.join(ends, F.col("src") == F.col("_before"), "left").withColumn("end", F.coalesce("_next", F.lit(sizes["dst"])))
+    rows = rows.where("end > ptr").select("src", F.explode(F.sequence("ptr", F.col("end") - 1)).alias("_at"))
+    targets = read_numbers(spark, f"{path}.dst", 8).toDF("place", "dst")
+    weights = read_numbers(spark, f"{path}.val", 4).toDF("_place", "weight")
+    edges = targets.join(weights, F.col("place") == F.col("_place")).join(rows, F.col("place") == F.col("_at"))
+    return Graph(edges.select("src", "dst", "weight"), sizes["col"])
 
 
 def convert(spark: SparkSession, path: str, into: str, layout: str, from_layout: str | None = None) -> None:
