@@ -12,6 +12,7 @@ Defined results: null text, role or conversation id is the empty text, role or t
 turns are ordered by turn, role, text (null turns first); repeated rows stay; a turn that the machine
 does not allow is formatted all the same, ``valid`` is false and ``bad_turn`` is the first such
 place (counted from 0; the number of turns if the conversation only ends too early). Other columns are ignored.
+A conversation is one row, as its formatted text is; one of very many turns is one task's.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ class Template:
         controls = self.controls
         if len(set(controls)) < len(controls) or any("\\" in c or not c for c in controls):
             raise ValueError("control strings must differ, be non-empty and hold no backslash")
+        if len(self.heads) > 9:
+            raise ValueError("control strings may begin with nine different characters at most: an escape has one digit")
         for a in controls:
             for b in controls:
                 if a != b and a in b:
