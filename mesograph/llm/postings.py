@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mesograph.operators.components import star_components
 
-from .common import durable
+from .common import durable, join_groups
 
 
 def _stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,3 +70,17 @@ def across(rows: DataFrame, near: Column) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of the nodes that links (a, b) join."""
     return durable(star_components(links, "a", "b"))
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after further links (a, b): only the labels that they join are contracted."""
+    of = lambda side, to: labels.select(F.col("id").alias(f"_{side}"), F.col("component").alias(to))
+    named = links.join(of("a", "x"), F.col("a") == F.col("_a"), "left").join(of("b", "y"), F.col("b") == F.col("_b"), "left")
+    named = durable(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct())
+    if named.isEmpty():
+        return labels
+    top = components(named)
+    old = join_groups(labels, top.toDF("component", "_top"), ["component"], F.col("id"), "left").select("id", F.coalesce("_top", "component").alias("component"))
+    # labels of nodes that had no link so far are the nodes themselves
+    new = top.join(labels.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    return durable(old.unionByName(new))
