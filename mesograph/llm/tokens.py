@@ -39,7 +39,7 @@ from .common import durable, fresh, pieces, sha256, table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a text that is cut into chunks, and of a chunk; matrices that one combines; solved spans that a worker remembers.
-GIANT, CHUNK, FAN, REMEMBERED = 1 << 14, 1 << 12, 64, 200_000
+GIANT, CHUNK, FAN, REMEMBERED = 24 << 10, 1 << 12, 64, 200_000
 #: Longer spans are solved place by place and not remembered.
 LONG = 64
 NONE = -np.inf
