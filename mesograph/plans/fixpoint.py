@@ -100,22 +100,22 @@ def least_values(edges: DataFrame, start: DataFrame, candidate: Column, keys: tu
     with static_plans(spark):
         kept, trace = Edges(edges), Trace()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        state = start.select(*keys, "value", F.when(F.col("value").isNotNull(), 0).alias("round"))
+        state = start.select(*keys, "value", F.col("value").isNotNull().alias("changed"))
         state = durable(state.repartition(parts, *keys).sortWithinPartitions(*keys))
-        n = state.where("round = 0").count()
+        n = state.where("changed").count()
         while n and (most is None or trace.rounds < most):
-            active = state.where(F.col("round") == trace.rounds)
+            active = state.where("changed")
             trace.active.append(n)
             if keep:
                 trace.frames.append(active)
             sent = kept.from_ids(active).select(*others, F.col("dst").alias("id"), candidate.alias("_new"))
             best = sent.groupBy(*keys).agg(F.min("_new").alias("_new")).withColumnsRenamed({k: f"_{k}" for k in keys})
-            # a left join keeps the state's partitioning and order
+            # a left join keeps the state's partitioning and order; no number of the round is in the plan, so compiled code is used again
             both = state.join(best.hint("merge"), [F.col(k) == F.col(f"_{k}") for k in keys], "left")
             better = F.col("_new").isNotNull() & (F.col("value").isNull() | (F.col("_new") < F.col("value")))
-            columns = [F.when(better, F.col("_new")).otherwise(F.col("value")).alias("value"), F.when(better, trace.rounds).otherwise(F.col("round")).alias("round")]
             seen = Observation()  # a count: a task that runs twice is counted once
-            state = durable(both.select(*keys, *columns).observe(seen, F.count_if(F.col("round") == trace.rounds).alias("n")))
+            new = both.select(*keys, F.when(better, F.col("_new")).otherwise(F.col("value")).alias("value"), better.alias("changed"))
+            state = durable(new.observe(seen, F.count_if("changed").alias("n")))
             n = seen.get["n"]
         kept.release()
     return state.where("value is not null").select(*keys, "value"), trace
