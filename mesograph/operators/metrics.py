@@ -16,9 +16,11 @@ def active_by_level(levels: DataFrame, n: int) -> DataFrame:
 
 
 def active_always(vertices: DataFrame, rounds: int) -> DataFrame:
-    """(iter, id) where every vertex is active in every round."""
-    every = F.sequence(F.lit(1).cast("long"), F.lit(max(1, rounds)).cast("long"))
-    return vertices.select(F.explode(every).alias("iter"), "id").where(F.col("iter") <= rounds)
+    """(iter, id) where every vertex is active in every round.
+
+    A join, not an array to explode: Spark takes exploded rows for as small as their input and would broadcast them."""
+    every = vertices.sparkSession.range(1, rounds + 1).withColumnRenamed("id", "iter")
+    return vertices.crossJoin(F.broadcast(every)).select("iter", "id")
 
 
 def _planned(active: DataFrame, plan: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def test_plan_and_metrics(spark):
     assert chunks == {(1, 0): 3, (1, 1): 1, (2, 1): 2, (2, 2): 3, (2, 3): 2}
 
 
+def test_always_active_is_never_taken_for_small(spark):
+    """The estimate by which Spark chooses what to broadcast isn't under what the rows take."""
+    active = metrics.active_always(spark.range(1000), 40)
+    assert int(active._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= 40 * 1000 * 16
+    assert sorted(map(tuple, metrics.active_always(spark.range(2), 2).collect())) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert metrics.active_always(spark.range(2), 0).count() == 0
+
+
 @WAYS
 def test_zero_weights_loops_and_unreached(spark, distributed):
     g = graph(spark, T3, 7)
