@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def advised_ratio(edges: float, fits: float) -> float:
     """The share of the room for edges to fill with the resident prefix: (10 - edges / fits) / 9, 0.5 where
-    that is negative and 1 where it is over 1."""
+    that is negative and 1 where it is over 1. Without room the quotient is infinite, so 0.5; 1 if there are no edges either."""
+    if not fits:
+        return 0.5 if edges else 1.0
     k = (10 - edges / fits) / 9
     return 0.5 if k < 0 else min(k, 1.0)
 

@@ -201,3 +201,20 @@ def test_advised_share():
     assert advised_ratio(550, 100) == 0.5
     assert dataset_name("/a/b.c/web.2005.bcsr") == "web.2005"
     assert cache_plan.prefix_edges(100, 70, 32) == 64
+
+
+def test_advised_shares_without_room(spark, tmp_path):
+    """More vertices than the least memory holds; and no edges at all."""
+    import duckdb
+
+    from mesograph.source_queries import ORACLE_SQL, advised_shares
+
+    spark.range(4000).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = spark.range(9000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 4000).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"))
+    for rows in (orders, orders.limit(0)):
+        rows.write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+        connection = duckdb.connect()
+        for name in ("customer", "orders"):
+            connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        got = sorted(map(tuple, advised_shares(spark, str(tmp_path)).collect()))
+        assert got == sorted(connection.sql(ORACLE_SQL["advised_shares"]).fetchall()) and got[0][1] == 0 < got[2][1]
