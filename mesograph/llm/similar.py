@@ -1,19 +1,24 @@
-"""SimHash near-dedup's index for a stated similarity: pairs of texts of Jaccard similarity 0.8 or more in word shingles.
+"""SimHash near-dedup for a stated similarity: pairs of texts of Jaccard similarity 0.8 or more in word shingles.
 
 Sixty-four SimHash bits can't tell such pairs: at similarity 0.8 two fingerprints differ in ten bits on the
-average, and no posting of shared bytes is both small and certain. So here the positional bytes come from minwise
-hashing: byte p is the same in two texts with probability of their similarity. The rest is the operator's
-method: an inverted index over positional bytes, a tally of the bytes that a pair shares, a least tally, and a check
-of what passes, here of the whole shingle sets.
+average, and no posting of shared bytes is both small and certain. So here a fingerprint is as wide as it must be, over
+1000 bits, each the majority of that bit in all shingles' hashes, as in the operator, and positions are half bytes. The rest is
+the operator's method as well: an inverted index over positions, a tally of the positions that a pair shares, a least tally, and a
+check of what passes, here of the whole shingle sets.
 
-A posting key is PROBE neighbouring positions with their bytes. There are so many positions that a pair at the limit
-misses all its postings with a probability of at most ``MISS``, and as little the least tally; pairs above it less. What
-is linked is exact.
+A posting key is three neighbouring positions with what stands there, beyond ``MANY`` texts four. There are so many that a pair at
+the limit misses all its postings with a probability of at most ``MISS``; pairs above it less. ``differing`` says how often a
+bit differs at the limit, by counting all votes of small sets (whose bits differ more often: four shingles and the same with a
+fifth in 0.19 of all bits, large ones in 0.15), so sets of few shingles have more positions. What is linked is exact.
+
+Keys so short are met by chance, by N / 4096 other texts in a posting. So a posting's row carries the fingerprint's first 128
+bits, and where postings are streamed, rows that differ too much there from all others of their posting go at once. Postings
+of more than ``LIMIT`` rows, and those that may go on in another partition, pass whole.
 
 Equal sets are one node and never pairs. Dense groups aren't paired with each other: rounds of links contract
-them first, from each node to the neighbour it meets most often, then one pair for each two components. What
+them first, from each node to the likest of the few neighbours it meets most often, then one pair for each two components. What
 then still shares a posting across components is compared without a cap, but not as rows of pairs: large postings are
-dealt into blocks, each two blocks meet in one group, and there array operations tally the bytes and bound the
+dealt into blocks, each two blocks meet in one group, and there array operations tally the positions and bound the
 overlap by bitmaps of the sets (a common shingle is a common bit, but for those that fell on one bit). Only pairs
 that the bound allows are made, and checked on the sets.
 
@@ -27,11 +32,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import postings
@@ -39,20 +45,67 @@ from .common import LOWER_TABLE, durable, join_groups, pieces, utf8, where_id
 from .simhash import least_of_each
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Bytes in a posting key; the probability that a pair at the limit is missed.
-PROBE, MISS = 4, 1e-6
+#: Bits at a position; positions in a posting key, up to MANY texts and beyond. Either gives the same links.
+HALF, PROBE, WIDE, MANY = 4, 3, 4, 1 << 18
+#: The probability that a pair at the limit is missed.
+MISS = 1e-6
+#: Sets from so many shingles on have the positions of the largest, then of the middling, of the smallest sets.
+SIZES = (48, 6, 0)
+#: A posting of more rows isn't searched for rows that met by chance; how many bits a row carries for that.
+LIMIT, CARRIED = 512, 128
+#: Of the neighbours that a node has in its postings, how many are tried as links that contract dense groups.
+TRIED = 8
 #: Rounds in which dense groups are contracted before the rest is compared pair by pair.
 ROUNDS = 3
-BLOCK = 1 << 11
+#: Shingles whose bits are counted at once: the counts fit a byte.
+BLOCK = 255
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Nodes of a posting in a block, and how many of them are compared with all of the other at once; bits of a bitmap for each shingle.
 NODES, ROWS, DENSE = 1024, 32, 16
 
 
-def shape(similarity: float) -> tuple[int, int]:
-    """How many positional bytes a signature has, and how many a pair must share."""
-    groups = math.ceil(math.log(MISS) / math.log(1 - similarity**PROBE)) if similarity < 1 else 1
-    n = groups * PROBE
-    return n, max(1, math.floor(n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity))))
+def _votes(n: int) -> np.ndarray:
+    """How likely n shingles have 0 to n ones in a bit."""
+    return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+
+def _apart(both: int, one: int, other: int) -> float:
+    """How likely a bit differs between two sets with ``both`` common shingles and some of their own."""
+    k = np.arange(both + 1)
+
+    def ones(own: int) -> np.ndarray:  # how likely the bit is set, for each number of ones among the common shingles
+        over = np.append(np.cumsum(_votes(own)[::-1])[::-1], 0.0)
+        least = (both + own) // 2 + 1 - k
+        return over[np.clip(least, 0, own + 1)]
+
+    a, b = ones(one), ones(other)
+    return float((_votes(both) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@cache
+def differing(similarity: float) -> tuple[float, ...]:
+    """How often a bit differs at most in different sets of the similarity, the larger of at least SIZES shingles each.
+
+    Counted to sizes of 64; beyond, sums of votes are normal and it falls to the angle between the sets."""
+    most = {}
+    for m in range(1, 65):
+        pairs = [(c, x, m - c) for c in range(1, m + 1) for x in range(m - c + 1) if x + m - c and c / (m + x) >= similarity - 1e-12]
+        most[m] = max((_apart(*p) for p in pairs), default=0.0)
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return tuple(max(angle, *(d for m, d in most.items() if m >= size)) for size in SIZES)
+
+
+def shape(similarity: float, probe: int = PROBE) -> tuple[tuple[int, ...], int, tuple[int, int]]:
+    """How many keys sets of SIZES have, how many positions a pair must share of the first's, and in how many carried bits it may
+    differ, in the keys of middling sets and in those that only the smallest have."""
+    keys = []
+    for d in differing(similarity):
+        same = (1 - d) ** (HALF * probe)
+        keys.append(max(-(-CARRIED // (HALF * probe)), math.ceil(math.log(MISS) / math.log1p(-same)) if d else 1))
+    n, same = keys[0] * probe, (1 - max(differing(similarity))) ** HALF
+    least = max(1, math.floor(n * same - 5 * math.sqrt(n * same * (1 - same))))
+    far = [math.floor(CARRIED * d + 5.5 * math.sqrt(CARRIED * d * (1 - d))) for d in differing(similarity)[1:]]
+    return tuple(keys), least, (far[0], far[1])
 
 
 def _hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -72,11 +125,16 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, turn: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """One byte a position: of the least of all hashes in that position's order. Blocks bound the memory of a very long text."""
-    least = np.full(len(turn), np.iinfo(np.uint64).max, dtype=np.uint64)
+    """The SimHash bits, a byte each: the majority of that bit in all hashes, of which ``turn`` and ``stretch`` make one a word
+    of 64 bits. Blocks bound the memory of a very long text."""
+    ones = np.zeros(64 * len(turn), dtype=np.int64)
     for k in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, ((hashes[k : k + BLOCK, None] ^ turn) * stretch).min(axis=0))
-    return (least ^ (least >> np.uint64(17)) ^ (least >> np.uint64(43))).astype(np.uint8)
+        x = (hashes[k : k + BLOCK, None] ^ turn) * stretch
+        x ^= x >> np.uint64(32)
+        x *= MIX
+        x ^= x >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
 
 
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,24 +142,87 @@ def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
     return random.integers(0, 1 << 63, n, dtype=np.uint64), random.integers(0, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _nodes(docs: DataFrame, size: int, n: int) -> DataFrame:
-    """doc_id, node (hash of the set), n, bytes (the signature, PROBE to an integer)."""
+def _nodes(docs: DataFrame, size: int, n: tuple[int, ...], probe: int) -> DataFrame:
+    """doc_id, node (hash of the set), n, words (the fingerprint, a key to an integer), first and second (the carried bits)."""
+    width = HALF * probe
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, stretch = _orders(n)
+        turn, stretch = _orders(-(-max(n) * width // 64))
         for batch in pieces(batches, "text"):
-            nodes, sizes, signed = [], [], []
+            nodes, sizes, signed, carried = [], [], [], [np.zeros(0, dtype=np.uint8)]
             for text in batch.column("text").to_pylist():
                 s = shingles(text, size)
+                keys = next(k for k, least in zip(n, SIZES, strict=True) if len(s) >= least)
+                used = -(-keys * width // 64)
+                bits = signature(s, turn[:used], stretch[:used])
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
-                signed.append(signature(s, turn, stretch).view("<i4"))
-            values = pa.array(np.concatenate(signed) if signed else np.zeros(0, dtype=np.int32))
-            offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * (n // PROBE))
+                signed.append((bits[: keys * width].reshape(keys, width) @ (1 << np.arange(width))).astype(np.uint16).view(np.int16))
+                carried.append(np.packbits(bits[:CARRIED]))
+            values = pa.array(np.concatenate([np.zeros(0, dtype=np.int16), *signed]))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32))
+            two = np.concatenate(carried).view(np.int64).reshape(-1, 2)
             columns = [batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["doc_id", "node", "n", "words", "first", "second"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, bytes array<int>")
+    return docs.mapInArrow(run, "doc_id long, node long, n int, words array<smallint>, first long, second long")
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, first, second): a row for each posting, with the bits that it carries."""
+    rows = nodes.select("node", "first", "second", F.posexplode("words").alias("at", "word"))
+    return rows.select(F.shiftleft(F.col("at").cast("long"), 16).bitwiseOR(F.col("word").cast("long").bitwiseAND(0xFFFF)).alias("key"), "node", "first", "second")
+
+
+def _close(key: np.ndarray, first: np.ndarray, second: np.ndarray, far: tuple[int, int], common: int) -> np.ndarray:
+    """Which rows, ordered by key, have another of their key within ``far`` carried bits (the second bound from the position
+    ``common`` on); all rows of large postings."""
+    most = np.where(key >> 16 < common, *far)
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(begins, len(key)))
+    keep = np.repeat(size > LIMIT, size)
+    at, lag = np.flatnonzero(~keep), 0
+    while len(at):
+        lag += 1
+        at = at[at + lag < len(key)]
+        at = at[key[at] == key[at + lag]]
+        near = at[np.bitwise_count(first[at] ^ first[at + lag]) + np.bitwise_count(second[at] ^ second[at + lag]) <= most[at]]
+        keep[near] = keep[near + lag] = True
+    return keep
+
+
+def _without_chance(batches: Iterable[pa.RecordBatch], far: tuple[int, int], common: int) -> Iterator[pa.RecordBatch]:
+    """(key, node) of the rows that don't stand in their posting by chance only. The partition's first and last posting may go on
+    in another one and pass whole."""
+    held, passing = [np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.uint64, np.uint64)], None
+
+    def out(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep])], names=["key", "node"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in ("key", "node", "first", "second")]
+        rows = [np.concatenate([a, b.view(a.dtype)]) for a, b in zip(held, columns, strict=True)]
+        if passing is None:
+            passing = rows[0][0]
+        end = np.searchsorted(rows[0], rows[0][-1])  # the last posting isn't whole yet
+        if len(rows[0]) - end > LIMIT:
+            passing = rows[0][-1]
+        done = [x[:end] for x in rows]
+        if end:
+            yield out(done, _close(done[0], *done[2:], far, common) | (done[0] == passing))
+        held = [x[end:] for x in rows]
+        if held[0][0] == passing:
+            yield out(held, np.ones(len(held[0]), dtype=bool))
+            held = [x[:0] for x in held]
+    yield out(held, np.ones(len(held[0]), dtype=bool))
+
+
+def _meetings(rows: DataFrame, far: tuple[int, int], common: int) -> DataFrame:
+    """(key, node, before), as ``postings.meetings``, without what met by chance."""
+    ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    return durable(ordered.mapInArrow(lambda batches: postings._stream(_without_chance(batches, far, common)), "key long, node long, before long"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -118,10 +239,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, found array<long>")
 
 
-def _shared():
-    """How many positional bytes two signatures share."""
-    zero = lambda x, i: F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(255) == 0, 1).otherwise(0)
-    same = F.zip_with("bytes_a", "bytes_b", lambda x, y: sum((zero(x.bitwiseXOR(y), i) for i in range(1, PROBE)), zero(x.bitwiseXOR(y), 0)))
+def _shared(probe: int):
+    """How many positions two fingerprints share."""
+    zero = lambda x, i: F.when(F.shiftright(x.cast("int"), HALF * i).bitwiseAND((1 << HALF) - 1) == 0, 1).otherwise(0)
+    same = F.zip_with("words_a", "words_b", lambda x, y: sum((zero(x.bitwiseXOR(y), i) for i in range(1, probe)), zero(x.bitwiseXOR(y), 0)))
     return F.aggregate(same, F.lit(0), lambda total, x: total + x)
 
 
@@ -165,7 +286,7 @@ def _allowed(maps: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray
     return out
 
 
-def _met(position: int, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, words: np.ndarray, maps: list[np.ndarray], similarity: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _met(position: int, side: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, words: np.ndarray, maps: list[np.ndarray], similarity: float, least: int, probe: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of one group that may link. A pair counts in the first posting that it shares only."""
     one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
     found = []
@@ -175,11 +296,12 @@ def _met(position: int, side: np.ndarray, node: np.ndarray, label: np.ndarray, n
         fine = (label[some][:, None] != label[two][None]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6)
         if not side.any():
             fine &= some[:, None] < two[None]
-        for k in range(position):
+        for k in range(min(position, words.shape[1])):
             fine &= words[some, k][:, None] != words[two, k][None]
         i, j = np.nonzero(fine)
         i, j = some[i], two[j]
-        tally = ((words[i] ^ words[j]).view(np.uint8) == 0).sum(axis=1) if len(i) else np.zeros(0, dtype=np.int64)
+        both = words[i] ^ words[j]
+        tally = sum(((both >> HALF * k) & (1 << HALF) - 1 == 0).sum(axis=1) for k in range(probe))
         i, j = i[tally >= least], j[tally >= least]
         if len(i):
             fits = _allowed(maps, n, i, j, similarity)
@@ -188,8 +310,8 @@ def _met(position: int, side: np.ndarray, node: np.ndarray, label: np.ndarray, n
     return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
 
 
-def _blocks(rows: DataFrame, sketches: DataFrame, similarity: float, least: int) -> DataFrame:
-    """(a, b): pairs across labels that may link, from the open postings (key, node, label) and (node, n, bytes, bitmap)."""
+def _blocks(rows: DataFrame, sketches: DataFrame, similarity: float, least: int, probe: int) -> DataFrame:
+    """(a, b): pairs across labels that may link, from the open postings (key, node, label) and (node, n, words, bitmap)."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / NODES).cast("int").alias("_nb"))
     dealt = join_groups(rows, durable(sizes), ["key"], F.col("node")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
@@ -207,9 +329,9 @@ def _blocks(rows: DataFrame, sketches: DataFrame, similarity: float, least: int)
             label, side = get("label"), get("side")
             if group.num_rows < 2 or (label == label[0]).all():
                 return
-            words = np.stack([np.asarray(x, dtype=np.int32) for x in get("bytes")])
+            words = np.stack([np.asarray(x, dtype=np.int16) for x in get("words")])
             maps = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["bitmap"]]
-            a, b = _met(int(get("key")[0] >> 32), side, get("node"), label, get("n").astype(np.int64), words, maps, similarity, least)
+            a, b = _met(int(get("key")[0] >> 16), side, get("node"), label, get("n").astype(np.int64), words, maps, similarity, least, probe)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -235,23 +357,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, component_id (the least id): one row a document."""
     if not 0 < similarity <= 1 or size < 1:
         raise ValueError("similarity must be above 0 and at most 1, size at least 1")
-    n, least_tally = shape(similarity)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    made = durable(_nodes(docs, size, n))
-    nodes = durable(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bytes").alias("bytes")))
-    keys = nodes.select("node", F.posexplode("bytes").alias("at", "word"))
-    keys = keys.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("word").cast("long").bitwiseAND((1 << 32) - 1)).alias("key"), "node")
-    met = postings.meetings(keys)
+    probe = PROBE if docs.count() <= MANY else WIDE
+    n, least_tally, far = shape(similarity, probe)
+    made = durable(_nodes(docs, size, n, probe))
+    nodes = durable(made.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "words", "first", "second"))))
+    met = _meetings(_keys(nodes), far, n[1])
+    # only small sets have positions beyond those of the largest; what is tallied all have
+    nodes = nodes.select("node", "least", "n", F.slice("words", 1, n[0]).alias("words"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) whose sizes and tallies allow the similarity."""
-        of = lambda side: nodes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("bytes").alias(f"bytes_{side}"))
+        of = lambda side: nodes.select(F.col("node").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("words").alias(f"words_{side}"))
         both = pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
         fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-        return both.where(fits).withColumn("tally", _shared()).where(F.col("tally") >= least_tally).select(*pairs.columns, "tally")
+        return both.where(fits).withColumn("tally", _shared(probe)).where(F.col("tally") >= least_tally).select(*pairs.columns, "tally")
 
-    near = met.where("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b")).distinct()
-    near = durable(alike(near))
+    near = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    often = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+    near = durable(alike(near.withColumn("_often", often).where(F.col("_often") <= TRIED).select("a", "b")))
     # whole sets, once, of the nodes that some posting may link
     linkable = durable(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     whole: list[DataFrame] = []
@@ -293,8 +417,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             whole.append(sets_of(new))
         sets = whole[0] if len(whole) == 1 else whole[0].unionByName(whole[1])
         mapped = sets.join(open_nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left_semi").mapInArrow(_bitmaps, "_n long, bitmap binary")
-        sketches = nodes.select("node", "n", "bytes").join(mapped, F.col("node") == F.col("_n")).drop("_n")
-        rest = durable(_blocks(still, sketches, similarity, least_tally).distinct())
+        sketches = nodes.select("node", "n", "words").join(mapped, F.col("node") == F.col("_n")).drop("_n")
+        rest = durable(_blocks(still, sketches, similarity, least_tally, probe).distinct())
         if not rest.isEmpty():
             labels = postings.merge(labels, verified(rest))
     linked = durable(labels.join(nodes.select("node", "least"), F.col("id") == F.col("node")).select("node", "component", "least"))

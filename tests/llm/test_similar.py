@@ -77,3 +77,36 @@ def test_bounds_lose_nothing():
     share = np.array([len(x := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(x)) for i, j in zip(a, b, strict=True)])
     allowed = similar._allowed(maps, n, a, b, 0.8)
     assert allowed[share >= 0.8].all() and not allowed[share < 0.6].any() and (share >= 0.8).sum() > 20
+
+
+def test_index_is_of_simhash_bits():
+    """Each bit is the majority of the shingles' bits, so bits differ by the angle between two sets, and never by chance in few."""
+    turn, stretch = similar._orders(20)
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 4, 300, 600)]
+    for s in sets:
+        votes = sum(similar.signature(s[k : k + 1], turn, stretch).astype(int) for k in range(len(s)))
+        assert (similar.signature(s, turn, stretch) == (2 * votes > len(s))).all()
+    a, b = (similar.signature(x, *similar._orders(1000)) for x in (sets[3][:500], sets[3][50:]))  # 450 of 600 common
+    assert abs((a != b).mean() - np.arccos(450 / np.sqrt(500 * 550)) / np.pi) < 0.01
+    assert similar.differing(0.8)[2] == 0.1875  # four shingles and a fifth: a tie that one vote decides
+
+
+def test_only_chance_meetings_go():
+    """Whatever the batches: a row with another near it in its posting stays, in the order of the keys."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 300, 4000) << 16)
+    key[1000:1900] = key[1000]  # a posting over the limit
+    key = np.sort(key)
+    bits = rng.integers(0, 1 << 63, (4000, 2), dtype=np.int64)
+    for k in range(0, 4000, 40):
+        if key[k] == key[k + 1]:
+            bits[k + 1] = bits[k] ^ 0b1011
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.arange(4000), bits[:, 0].copy(), bits[:, 1].copy())], names=["key", "node", "first", "second"])
+    near = {n for k in range(0, 4000, 40) if key[k] == key[k + 1] for n in (k, k + 1)}
+    large = {k for k in range(4000) if (key == key[k]).sum() > similar.LIMIT} | set(np.flatnonzero((key == key[0]) | (key == key[-1])))
+    for size in (7, 500, 4000):
+        got = [n for b in similar._without_chance([whole.slice(k, size) for k in range(0, 4000, size)], (20, 20), 100) for n in b.column("node").to_pylist()]
+        assert got == sorted(got) and set(got) == near | large and len(near | large) < 2000
