@@ -11,8 +11,8 @@ the limit misses all its postings with a probability of at most ``MISS``; pairs
 bit differs at the limit, by counting all votes of small sets (whose bits differ more often: four shingles and the same with a
 fifth in 0.19 of all bits, large ones in 0.15), so sets of few shingles have more positions. What is linked is exact.
 
-Keys so short are met by chance, by N / 4096 other texts in a posting. So a posting's row carries the fingerprint's first 128
-bits, and where postings are streamed, rows that differ too much there from all others of their posting go at once. Postings
+Keys so short are met by chance, by N / 4096 other texts in a posting. So a posting's row carries the set's size and the fingerprint's
+first 192 bits, and where postings are streamed, rows that differ too much there from all others of their posting go at once. Postings
 of more than ``LIMIT`` rows, and those that may go on in another partition, pass whole.
 
 Equal sets are one node and never pairs. Dense groups aren't paired with each other: rounds of links contract
@@ -52,7 +52,9 @@ MISS = 1e-6
 #: Sets from so many shingles on have the positions of the largest, then of the middling, of the smallest sets.
 SIZES = (48, 6, 0)
 #: A posting of more rows isn't searched for rows that met by chance; how many bits a row carries for that.
-LIMIT, CARRIED = 512, 128
+LIMIT, CARRIED = 512, 192
+#: The columns of the carried bits.
+BITS = [f"bits{k}" for k in range(CARRIED // 64)]
 #: Of the neighbours that a node has in its postings, how many are tried as links that contract dense groups.
 TRIED = 8
 #: Rounds in which dense groups are contracted before the rest is compared pair by pair.
@@ -143,7 +145,7 @@ def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame, size: int, n: tuple[int, ...], probe: int) -> DataFrame:
-    """doc_id, node (hash of the set), n, words (the fingerprint, a key to an integer), first and second (the carried bits)."""
+    """doc_id, node (hash of the set), n, words (the fingerprint, a key to an integer), BITS (the carried bits)."""
     width = HALF * probe
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +163,22 @@ def _nodes(docs: DataFrame, size: int, n: tuple[int, ...], probe: int) -> DataFr
                 carried.append(np.packbits(bits[:CARRIED]))
             values = pa.array(np.concatenate([np.zeros(0, dtype=np.int16), *signed]))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32))
-            two = np.concatenate(carried).view(np.int64).reshape(-1, 2)
+            first = np.concatenate(carried).view(np.int64).reshape(-1, len(BITS))
             columns = [batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["doc_id", "node", "n", "words", "first", "second"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.copy()) for x in first.T)], names=["doc_id", "node", "n", "words", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, words array<smallint>, first long, second long")
+    return docs.mapInArrow(run, "doc_id long, node long, n int, words array<smallint>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, first, second): a row for each posting, with the bits that it carries."""
-    rows = nodes.select("node", "first", "second", F.posexplode("words").alias("at", "word"))
-    return rows.select(F.shiftleft(F.col("at").cast("long"), 16).bitwiseOR(F.col("word").cast("long").bitwiseAND(0xFFFF)).alias("key"), "node", "first", "second")
+    """(key, node, n, BITS): a row for each posting, with what it carries."""
+    rows = nodes.select("node", "n", *BITS, F.posexplode("words").alias("at", "word"))
+    return rows.select(F.shiftleft(F.col("at").cast("long"), 16).bitwiseOR(F.col("word").cast("long").bitwiseAND(0xFFFF)).alias("key"), "node", "n", *BITS)
 
 
-def _close(key: np.ndarray, first: np.ndarray, second: np.ndarray, far: tuple[int, int], common: int) -> np.ndarray:
-    """Which rows, ordered by key, have another of their key within ``far`` carried bits (the second bound from the position
-    ``common`` on); all rows of large postings."""
+def _close(key: np.ndarray, n: np.ndarray, bits: list[np.ndarray], similarity: float, far: tuple[int, int], common: int) -> np.ndarray:
+    """Which rows, ordered by key, have another of their key whose size allows the similarity and that is within ``far`` carried bits
+    (the second bound from the position ``common`` on); all rows of large postings."""
     most = np.where(key >> 16 < common, *far)
     begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begins, len(key)))
@@ -186,15 +188,17 @@ def _close(key: np.ndarray, first: np.ndarray, second: np.ndarray, far: tuple[in
         lag += 1
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
-        near = at[np.bitwise_count(first[at] ^ first[at + lag]) + np.bitwise_count(second[at] ^ second[at + lag]) <= most[at]]
+        one, two = n[at], n[at + lag]
+        some = at[np.minimum(one, two) >= similarity * np.maximum(one, two) - 1e-6]
+        near = some[sum(np.bitwise_count(x[some] ^ x[some + lag]).astype(np.int64) for x in bits) <= most[some]]
         keep[near] = keep[near + lag] = True
     return keep
 
 
-def _without_chance(batches: Iterable[pa.RecordBatch], far: tuple[int, int], common: int) -> Iterator[pa.RecordBatch]:
+def _without_chance(batches: Iterable[pa.RecordBatch], similarity: float, far: tuple[int, int], common: int) -> Iterator[pa.RecordBatch]:
     """(key, node) of the rows that don't stand in their posting by chance only. The partition's first and last posting may go on
     in another one and pass whole."""
-    held, passing = [np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.uint64, np.uint64)], None
+    held, passing = [np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.int32, *[np.uint64] * len(BITS))], None
 
     def out(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[0][keep]), pa.array(rows[1][keep])], names=["key", "node"])
@@ -202,7 +206,7 @@ def _without_chance(batches: Iterable[pa.RecordBatch], far: tuple[int, int], com
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(c).to_numpy() for c in ("key", "node", "first", "second")]
+        columns = [batch.column(c).to_numpy() for c in ("key", "node", "n", *BITS)]
         rows = [np.concatenate([a, b.view(a.dtype)]) for a, b in zip(held, columns, strict=True)]
         if passing is None:
             passing = rows[0][0]
@@ -211,7 +215,7 @@ def _without_chance(batches: Iterable[pa.RecordBatch], far: tuple[int, int], com
             passing = rows[0][-1]
         done = [x[:end] for x in rows]
         if end:
-            yield out(done, _close(done[0], *done[2:], far, common) | (done[0] == passing))
+            yield out(done, _close(done[0], done[2], done[3:], similarity, far, common) | (done[0] == passing))
         held = [x[end:] for x in rows]
         if held[0][0] == passing:
             yield out(held, np.ones(len(held[0]), dtype=bool))
@@ -219,10 +223,10 @@ def _without_chance(batches: Iterable[pa.RecordBatch], far: tuple[int, int], com
     yield out(held, np.ones(len(held[0]), dtype=bool))
 
 
-def _meetings(rows: DataFrame, far: tuple[int, int], common: int) -> DataFrame:
+def _meetings(rows: DataFrame, similarity: float, far: tuple[int, int], common: int) -> DataFrame:
     """(key, node, before), as ``postings.meetings``, without what met by chance."""
     ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return durable(ordered.mapInArrow(lambda batches: postings._stream(_without_chance(batches, far, common)), "key long, node long, before long"))
+    return durable(ordered.mapInArrow(lambda batches: postings._stream(_without_chance(batches, similarity, far, common)), "key long, node long, before long"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -361,8 +365,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     probe = PROBE if docs.count() <= MANY else WIDE
     n, least_tally, far = shape(similarity, probe)
     made = durable(_nodes(docs, size, n, probe))
-    nodes = durable(made.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "words", "first", "second"))))
-    met = _meetings(_keys(nodes), far, n[1])
+    nodes = durable(made.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "words", *BITS))))
+    met = _meetings(_keys(nodes), similarity, far, n[1])
     # only small sets have positions beyond those of the largest; what is tallied all have
     nodes = nodes.select("node", "least", "n", F.slice("words", 1, n[0]).alias("words"))
 

@@ -100,13 +100,13 @@ def test_only_chance_meetings_go():
     key = np.sort(rng.integers(0, 300, 4000) << 16)
     key[1000:1900] = key[1000]  # a posting over the limit
     key = np.sort(key)
-    bits = rng.integers(0, 1 << 63, (4000, 2), dtype=np.int64)
+    bits, n = rng.integers(0, 1 << 63, (4000, 3), dtype=np.int64), np.full(4000, 100, dtype=np.int32)
     for k in range(0, 4000, 40):
         if key[k] == key[k + 1]:
-            bits[k + 1] = bits[k] ^ 0b1011
-    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.arange(4000), bits[:, 0].copy(), bits[:, 1].copy())], names=["key", "node", "first", "second"])
-    near = {n for k in range(0, 4000, 40) if key[k] == key[k + 1] for n in (k, k + 1)}
+            bits[k + 1], n[k + 1] = bits[k] ^ 0b1011, 80 if k % 80 else 79
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.arange(4000), n, *(x.copy() for x in bits.T))], names=["key", "node", "n", *similar.BITS])
+    near = {x for k in range(40, 4000, 80) if key[k] == key[k + 1] for x in (k, k + 1)}
     large = {k for k in range(4000) if (key == key[k]).sum() > similar.LIMIT} | set(np.flatnonzero((key == key[0]) | (key == key[-1])))
     for size in (7, 500, 4000):
-        got = [n for b in similar._without_chance([whole.slice(k, size) for k in range(0, 4000, size)], (20, 20), 100) for n in b.column("node").to_pylist()]
+        got = [n for b in similar._without_chance([whole.slice(k, size) for k in range(0, 4000, size)], 0.8, (20, 20), 100) for n in b.column("node").to_pylist()]
         assert got == sorted(got) and set(got) == near | large and len(near | large) < 2000
