@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether frames made while it is set remove their shuffles' files as soon as they have run.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
@@ -30,6 +33,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder. A lost executor costs nothing: its rows are files elsewhere."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written once to the shared folder. A lost executor costs nothing: its rows are files elsewhere.
+
+    So nothing needs the shuffles that made them. Their files go at once: otherwise they stay until the driver happens to
+    collect its garbage, and after many steps of many partitions those files, an index and a checksum a task, fill the disk."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        whole = df.select("*")  # a frame is bound to the setting when it is made
+    finally:
+        spark.conf.set(CLEAN, before)
+    return whole.checkpoint(eager=True)
