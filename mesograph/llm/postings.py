@@ -53,12 +53,21 @@ def meetings(posts: DataFrame) -> DataFrame:
     return durable(ordered.mapInArrow(_stream, "key long, node long, before long"))
 
 
+def labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label); ``labels``: (id, component) of some nodes, a node without one is its own."""
+    return met.select("key", "node").join(labels, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of the postings whose nodes have different labels."""
+    several = rows.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
+    return durable(rows.join(several, "key", "left_semi"))
+
+
 def still_open(met: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, label) of the postings whose nodes have different labels; ``labels``: (id, component) of some nodes,
     a node without one is its own."""
-    rows = met.select("key", "node").join(labels, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key")
-    return durable(rows.join(mixed, "key", "left_semi"))
+    return mixed(labelled(met, labels))
 
 
 def across(rows: DataFrame, near: Column) -> DataFrame:

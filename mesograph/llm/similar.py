@@ -15,6 +15,9 @@ Keys so short are met by chance, by N / 4096 other texts in a posting. So a post
 first 192 bits, and where postings are streamed, rows that differ too much there from all others of their posting go at once. Postings
 of more than ``LIMIT`` rows, and those that may go on in another partition, pass whole.
 
+What shares a posting is known by its whole set. A set of which more than a share of 1 - similarity of the shingles stand in no other of
+these sets can't be similar to any, so its rows go: an exact bound, which empties dense groups of those that are only somewhat like the rest.
+
 Equal sets are one node and never pairs. Dense groups aren't paired with each other: rounds of links contract
 them first, from each node to the likest of the few neighbours it meets most often, then one pair for each two components. What
 then still shares a posting across components is compared without a cap, but not as rows of pairs: large postings are
@@ -243,6 +246,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, found array<long>")
 
 
+def _single(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node): the sets (node, found) that hold so many shingles alone that none of the others can be similar enough."""
+    each = sets.select("node", F.explode("found").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("_node")).where("times = 1")
+    own = own.groupBy("_node").agg(F.count(F.lit(1)).alias("own"))
+    return sets.join(own, F.col("node") == F.col("_node")).where(F.col("own") > (1 - similarity) * F.size("found") + 1e-6).select("node")
+
+
 def _shared(probe: int):
     """How many positions two fingerprints share."""
     zero = lambda x, i: F.when(F.shiftright(x.cast("int"), HALF * i).bitwiseAND((1 << HALF) - 1) == 0, 1).otherwise(0)
@@ -377,13 +388,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
         return both.where(fits).withColumn("tally", _shared(probe)).where(F.col("tally") >= least_tally).select(*pairs.columns, "tally")
 
-    near = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    often = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
-    near = durable(alike(near.withColumn("_often", often).where(F.col("_often") <= TRIED).select("a", "b")))
-    # whole sets, once, of the nodes that some posting may link
-    linkable = durable(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    whole: list[DataFrame] = []
-
     def sets_of(some: DataFrame) -> DataFrame:
         """(node, found) of the nodes ``some``, each read from its least document."""
         ids = durable(some.withColumnRenamed("node", "_node").join(nodes, F.col("_node") == F.col("node")).select("least").distinct())
@@ -391,10 +395,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # rows may repeat an id with other texts: only the nodes asked for, each once
         return durable(made.join(some.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]))
 
-    whole.append(sets_of(linkable))
+    # whole sets, once, of the nodes that share a posting
+    sets = sets_of(durable(met.select("node").distinct()))
+    single = durable(_single(sets, similarity)).withColumnRenamed("node", "_node")
+    met = postings.meetings(durable(met.join(single, F.col("node") == F.col("_node"), "left_anti")))  # read twice
+    near = met.where("before is not null").groupBy(F.col("node").alias("a"), F.col("before").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    often = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+    near = durable(alike(near.withColumn("_often", often).where(F.col("_often") <= TRIED).select("a", "b")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = whole[0] if len(whole) == 1 else whole[0].unionByName(whole[1])
         of = lambda side: sets.select(F.col("node").alias(f"_{side}"), F.col("found").alias(f"s{side}"))
         both = pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -413,13 +422,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         labels = postings.merge(labels, more)
     # whatever still shares a posting across components
-    still = postings.still_open(met, labels)
+    still = postings.mixed(durable(postings.labelled(met, labels)))
     open_nodes = durable(still.select("node").distinct())
     if not open_nodes.isEmpty():
-        new = durable(open_nodes.join(linkable, "node", "left_anti"))
-        if not new.isEmpty():
-            whole.append(sets_of(new))
-        sets = whole[0] if len(whole) == 1 else whole[0].unionByName(whole[1])
         mapped = sets.join(open_nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left_semi").mapInArrow(_bitmaps, "_n long, bitmap binary")
         sketches = nodes.select("node", "n", "words").join(mapped, F.col("node") == F.col("_n")).drop("_n")
         rest = durable(_blocks(still, sketches, similarity, least_tally, probe).distinct())

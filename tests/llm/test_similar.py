@@ -110,3 +110,11 @@ def test_only_chance_meetings_go():
     for size in (7, 500, 4000):
         got = [n for b in similar._without_chance([whole.slice(k, size) for k in range(0, 4000, size)], 0.8, (20, 20), 100) for n in b.column("node").to_pylist()]
         assert got == sorted(got) and set(got) == near | large and len(near | large) < 2000
+
+
+def test_only_sets_without_any_like_them_go(spark):
+    """A set goes exactly if more than a fifth of its shingles stand in no other set, so no pair at the limit is lost."""
+    rows = [(0, list(range(100))), (1, list(range(80)) + list(range(1000, 1020))), (2, list(range(79)) + list(range(2000, 2021))), (3, [*range(8), 3000, 3001]), (4, [5000]), (5, [])]
+    sets = spark.createDataFrame(rows, "node long, found array<long>").repartition(3)
+    assert {r.node for r in similar._single(sets, 0.8).collect()} == {2, 4}
+    assert {r.node for r in similar._single(sets, 1.0).collect()} == {0, 1, 2, 3, 4}
